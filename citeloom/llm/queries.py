@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import canonical, cooccurrence, mixing, term_frequency
+from citeloom.llm import canonical, contamination, cooccurrence, mixing, sentences, term_frequency
 from citeloom.llm.text import term, trimmed
 from citeloom.sources.catalog import table
 
@@ -54,6 +54,18 @@ def _canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.canonical_candidates(table(spark, folder, "topic_prediction_results", "node_index", "topk_candidates"), table(spark, folder, "labelidx2category", "label_idx", "category", "short_code"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"))
+
+
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "mix_targets"))
 
@@ -66,4 +78,8 @@ def p8_mix_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_pair_counts, p3_found, p3_unmatched, p8_mix, p8_mix_report)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(table(spark, folder, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_pair_counts, p3_found, p3_unmatched, p7_found, p7_leaked_items, p8_mix, p8_mix_report, p9_found)}

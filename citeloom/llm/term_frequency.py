@@ -190,7 +190,7 @@ def term_frequencies(df: DataFrame, record: str, fields: list[str], rare_below:
 
     A record is a distinct non-null value of `record`, all its rows together; n is their number over all rows. uses counts
     every occurrence in every row with a record, repeated rows included; records counts records. mark is `rare` for fewer than rare_below
-    records, else `common` for more than common_over of n, else null. Null arrays, null and blank terms count as
+    records, else `common` for more than one in common_one_in of the n records, else null. Null arrays, null and blank terms count as
     nothing; rows with a null record are left out. An empty table gives no rows.
 
     Rows are grouped by (field, record, term) first, which combines on the map side, so a record or a term that

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,8 +25,19 @@ def term(text: Column) -> Column:
     return F.lower(squeezed(text))
 
 
-@lru_cache(maxsize=1 << 16)
-def plain_char(ch: str) -> str:
-    """A character's letters and digits in lower case, without marks and width."""
-    out = unicodedata.normalize("NFKD", ch).casefold()
-    return "".join(c for c in unicodedata.normalize("NFKD", out) if c.isalnum())
+class _Plain(dict):
+    """Code point to its letters and digits in lower case, without marks; filled as characters come."""
+
+    def __missing__(self, point: int) -> str:
+        out = unicodedata.normalize("NFKD", chr(point)).casefold()
+        out = "".join(c for c in unicodedata.normalize("NFKD", out) if c.isalnum())
+        self[point] = out = unicodedata.normalize("NFC", out)
+        return out
+
+
+_PLAIN = _Plain()
+
+
+def plain(text: str) -> str:
+    """The letters and digits of a text: no case, marks, width, punctuation or blanks."""
+    return unicodedata.normalize("NFKC", text).translate(_PLAIN)
