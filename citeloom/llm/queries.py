@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.llm import canonical, contamination, cooccurrence, mixing, sentences, term_frequency
+from citeloom.llm import canonical, contamination, cooccurrence, mixing, names, sentences, term_frequency
 from citeloom.llm.text import term, trimmed
 from citeloom.sources.catalog import table
 
@@ -54,6 +54,19 @@ def _canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.canonical_candidates(table(spark, folder, "topic_prediction_results", "node_index", "topk_candidates"), table(spark, folder, "labelidx2category", "label_idx", "category", "short_code"))
 
 
+def _spellings(spark: SparkSession, folder: str) -> DataFrame:
+    authors = table(spark, folder, "author_data_openalex", "authors").select(F.explode("authors").alias("name"))
+    return names.link_spellings(authors.unionAll(table(spark, folder, "final_user_profiles", "author_name").select(F.col("author_name").alias("name"))))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.spelling_pairs(_spellings(spark, folder))
+
+
+def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return _spellings(spark, folder)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).select("doc_id", "item_id")
 
@@ -82,4 +95,4 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_pair_counts, p3_found, p3_unmatched, p7_found, p7_leaked_items, p8_mix, p8_mix_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_pair_counts, p3_found, p3_unmatched, p6_found, p6_entities, p7_found, p7_leaked_items, p8_mix, p8_mix_report, p9_found)}
