@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import problems
+from citeloom.plans import core, problems
 
-MODULES = (problems,)
+MODULES = (core, problems)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
