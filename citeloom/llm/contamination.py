@@ -28,12 +28,12 @@ BLOCK_ITEMS = 2_000
 #: A seed is rare if its document count is at most COMMON times the median of its item's seeds, plus COMMON_SLACK.
 COMMON, COMMON_SLACK = 4, 10
 #: Least share and number of an item's rare seeds that a candidate holds. A copy of half an item holds far more.
-LEAST_SHARE, LEAST_SEEDS = 0.08, 2
+LEAST_SHARE, LEAST_SEEDS = 0.1, 2
 #: Letters kept on both sides of a hit.
 AROUND = 48
 MATCH, MISMATCH, OPEN = 1, -2, -8
-#: Cells that are aligned at once.
-CELLS = 1_500_000
+#: Cells of a diagonal that are worked on at once.
+CELLS = 16_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,6 +78,25 @@ class _Seeds:
         self.hashes, self.owners = self.hashes[order], self.owners[order]
         self.distinct = np.unique(self.hashes)
 
+    def entries(self, hashes: np.ndarray) -> np.ndarray:
+        """Places in `owners` of all items of these distinct seeds."""
+        left, right = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
+        n = right - left
+        return np.repeat(left - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.array([], dtype=np.int64)
+
+    def rare(self, frequency: dict[int, int]) -> tuple[np.ndarray, dict[int, int]]:
+        """Which entries are rare for their item, by the seeds' document counts; and how many each item has."""
+        counts = np.array([frequency.get(int(x), 0) for x in self.distinct.view(np.int64)])
+        counts = counts[np.searchsorted(self.distinct, self.hashes)]
+        is_rare, n_rare = np.ones(len(self.hashes), dtype=bool), {}
+        for item in self.of:
+            mine = np.flatnonzero(self.owners == item)
+            n = counts[mine]
+            if (n > 0).any():
+                is_rare[mine] = n <= COMMON * np.median(n[n > 0]) + COMMON_SLACK
+            n_rare[item] = int(is_rare[mine].sum())
+        return is_rare, n_rare
+
     def hits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes) of the n-grams that are seeds."""
         places, found = [], []
@@ -96,56 +115,60 @@ class _Seeds:
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     """(score, matched) of the best local alignment of each pair (item, document) of code points.
 
-    Gotoh's recurrences over anti-diagonals, all pairs side by side; matched is the number of equal letters on the
-    alignment that gives the score.
+    Gotoh's recurrences over anti-diagonals, many pairs side by side; matched is the number of equal letters on the
+    alignment that gives the score. A cell holds score * 65536 + matched, so that a larger score wins, then more matches.
     """
     out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
-    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    order = sorted((k for k in range(len(pairs)) if len(pairs[k][0]) and len(pairs[k][1])), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
     at = 0
     while at < len(order):
         take, wide = [], 0
         while at < len(order):
             longest = max(wide, len(pairs[order[at]][0]))
-            if take and (len(take) + 1) * longest * 4 > CELLS / 50:
+            if take and (len(take) + 1) * longest > CELLS:
                 break
             wide = longest
             take.append(order[at])
             at += 1
-        m, n = wide, max(len(pairs[k][1]) for k in take)
-        if not m or not n:
-            continue
-        a = np.zeros((len(take), m), dtype=np.int64)
-        b = np.full((len(take), n + 2 * m), -1, dtype=np.int64)
-        for r, k in enumerate(take):
-            a[r, : len(pairs[k][0])] = pairs[k][0]
-            a[r, len(pairs[k][0]) :] = -2
-            b[r, m : m + len(pairs[k][1])] = pairs[k][1]
-        flipped = a[:, ::-1]
-        # scores carry the matched letters in their low bits: score * 65536 + matched; a larger score wins, then more matches
-        unit = 1 << 16
-        hit, miss, open_ = MATCH * unit + 1, MISMATCH * unit, OPEN * unit
-        shape = (len(take), m + 1)  # column i: item letter i (1-based); column 0 is the border
-        h1, h2 = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64)
-        low = np.full(shape, -(1 << 40), dtype=np.int64)
-        e1, f1 = low.copy(), low.copy()
-        best = np.zeros(len(take), dtype=np.int64)
-        for d in range(2, m + n + 1):
-            # cell (i, j), i + j = d; letter j of the document for item letter i is b[m + d - i - 1]
-            letters = b[:, d - 1 : d - 1 + m][:, ::-1]  # i = 1..m -> document index d - i - 1
-            same = np.where(a == letters, hit, miss)
-            same[(letters == -1) | (a == -2)] = -(1 << 40)
-            e = np.maximum(e1[:, 1:], h1[:, 1:] + open_)  # gap in the item: from (i, j-1)
-            f = np.maximum(f1[:, :-1], h1[:, :-1] + open_)  # gap in the document: from (i-1, j)
-            h = np.maximum(np.maximum(h2[:, :-1] + same, 0), np.maximum(e, f))
-            np.maximum(best, h.max(axis=1), out=best)
-            h2, h1 = h1, np.concatenate([np.zeros((len(take), 1), dtype=np.int64), h], axis=1)
-            e1 = np.concatenate([low[:, :1], e], axis=1)
-            f1 = np.concatenate([low[:, :1], f], axis=1)
-        for r, k in enumerate(take):
-            out[k] = (int(best[r] >> 16), int(best[r] & (unit - 1)))
+        best = _align_block([pairs[k] for k in take], wide)
+        for k, value in zip(take, best.tolist()):
+            out[k] = (value >> 16, value & 0xFFFF)
     return out
 
 
+def _align_block(pairs: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
+    count, n = len(pairs), max(len(b) for _, b in pairs)
+    # 32 bits hold the scores of items of up to 16,000 letters
+    kind = np.int32 if m < 16_000 else np.int64
+    hit, miss, gap, never = (kind(x) for x in ((MATCH << 16) + 1, MISMATCH << 16, OPEN << 16, -(1 << 30)))
+    # column i is item letter i, the last one first, so that a diagonal reads the document from left to right
+    a = np.full((count, m), -2, dtype=np.int32)
+    b = np.full((count, n + 2 * m), -1, dtype=np.int32)
+    for r, (x, y) in enumerate(pairs):
+        a[r, m - len(x) :] = x[::-1]
+        b[r, m : m + len(y)] = y
+    h1, h2 = np.zeros((count, m + 1), dtype=kind), np.zeros((count, m + 1), dtype=kind)  # the last column is the border
+    e, f = np.full((count, m), never, dtype=kind), np.full((count, m + 1), never, dtype=kind)
+    step, same, best = np.empty((count, m), dtype=kind), np.empty((count, m), dtype=bool), np.zeros(count, dtype=kind)
+    for d in range(2, m + n + 1):
+        # column c is item letter i = m - c; the document's letter is number d - i, at m + d - i - 1 = d - 1 + c of b
+        np.equal(a, b[:, d - 1 : d - 1 + m], out=same)
+        np.multiply(same, hit - miss, out=step)
+        step += miss
+        step += h2[:, 1:]  # from (i - 1, j - 1), one diagonal further back
+        np.maximum(step, 0, out=step)
+        h1 += gap
+        np.maximum(e, h1[:, :m], out=e)  # from (i, j - 1)
+        np.maximum(f[:, 1:], h1[:, 1:], out=f[:, :m])  # from (i - 1, j)
+        h1 -= gap
+        np.maximum(step, e, out=step)
+        np.maximum(step, f[:, :m], out=step)
+        h2[:, :m] = step
+        h1, h2 = h2, h1
+        np.maximum(best, step.max(axis=1), out=best)
+    return best
+
+
 def _around(points: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
     """The parts of a stream near the places, joined by a letter that equals none."""
     places = np.sort(places)
@@ -183,25 +206,19 @@ def _leaks_of_block(documents: DataFrame, items: list[tuple[int, str]], least: f
     counts = hit.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
     # at most one row per seed of the block
     frequency = {row["seed"]: row["n"] for row in counts.toLocalIterator()}
-    seeds = shared.value
-    rare: dict[int, np.ndarray] = {}
-    for item, own in seeds.of.items():
-        n = np.array([frequency.get(int(x), 0) for x in own.view(np.int64)])
-        rare[item] = own[n <= COMMON * np.median(n[n > 0]) + COMMON_SLACK] if (n > 0).any() else own
-    chosen = spark.sparkContext.broadcast(rare)
+    chosen = spark.sparkContext.broadcast(shared.value.rare(frequency))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds, rare = shared.value, chosen.value
+        seeds, (is_rare, n_rare) = shared.value, chosen.value
         streams = {}
         for batch in batches:
             keys, pairs = [], []
             for doc, stream, places, found in zip(batch["doc_id"], batch["stream"], batch["places"], batch["seeds"]):
                 points, places, found = _points(stream), np.asarray(places, dtype=np.int64), np.asarray(found, dtype=np.int64).view(np.uint64)
-                left, right = np.searchsorted(seeds.hashes, found, "left"), np.searchsorted(seeds.hashes, found, "right")
-                for item in np.unique(np.concatenate([seeds.owners[x:y] for x, y in zip(left, right)])):
-                    mine = np.isin(found, rare[item])
-                    n = len(np.unique(found[mine]))
-                    if n < max(LEAST_SEEDS, LEAST_SHARE * len(rare[item])):
+                entries = seeds.entries(np.unique(found))
+                items, counts = np.unique(seeds.owners[entries[is_rare[entries]]], return_counts=True)
+                for item, n in zip(items.tolist(), counts.tolist()):
+                    if n < max(LEAST_SEEDS, LEAST_SHARE * n_rare[item]):
                         continue
                     if item not in streams:
                         streams[item] = _points(seeds.streams[item]).astype(np.int64)
