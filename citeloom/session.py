@@ -41,6 +41,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan, repartitioned only if it has fewer partitions than the cluster has cores: for work that is heavy per row.
+
+    Large inputs have more partitions than that and are left alone, so that nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from the files.
 
