@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.text import plain
-from citeloom.session import cut_lineage, shuffle_width
+from citeloom.session import cut_lineage, shuffle_width, spread
 
 #: Letters of a seed in scripts of letters, and in those of syllables and ideographs.
 LONG, SHORT = 12, 5
@@ -202,7 +202,7 @@ def _leaks_of_block(documents: DataFrame, items: list[tuple[int, str]], least: f
             yield pd.DataFrame(rows, columns=["doc_id", "stream", "places", "seeds"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    hit = cut_lineage(documents.select("doc_id", "text").mapInPandas(find, f"doc_id {kind}, stream string, places array<int>, seeds array<long>"))
+    hit = cut_lineage(spread(documents.select("doc_id", "text")).mapInPandas(find, f"doc_id {kind}, stream string, places array<int>, seeds array<long>"))
     counts = hit.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
     # at most one row per seed of the block
     frequency = {row["seed"]: row["n"] for row in counts.toLocalIterator()}

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeloom.llm.text import squeezed
-from citeloom.session import cut_lineage
+from citeloom.session import cut_lineage, spread
 
 BLOCK = 256
 #: Tokens of a shard, and shards that are apportioned at once.
@@ -74,7 +74,7 @@ def count_tokens(df: DataFrame, text: str, keep: list[str], tokenizer: str | Non
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.pop("_text")]
             yield batch.assign(n_tokens=np.array(n, dtype="int64"))
 
-    rows = df.select(*keep, F.col(text).alias("_text"))
+    rows = spread(df.select(*keep, F.col(text).alias("_text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
     return rows.mapInPandas(count, f"{schema}, n_tokens long")
 

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from citeloom.session import spread
+
 #: Candidates that one span may reach over.
 MAX_SPAN = 80
 
@@ -64,8 +66,8 @@ def _is_german(words: str) -> bool:
 class _Piece:
     """The candidates of one piece [start, end) of a text."""
 
-    def __init__(self, text: str, start: int, end: int, width: int):
-        self.text, self.start, self.end, self.width = text, start, end, width
+    def __init__(self, text: str, start: int, end: int, width: int, wrapped: bool):
+        self.text, self.start, self.end, self.width, self.wrapped = text, start, end, width, wrapped
         self.german: bool | None = None
         #: place after which a span ends -> what is said for ending there and opening after it
         self.cuts: dict[int, float] = {}
@@ -118,6 +120,9 @@ class _Piece:
         word = unicodedata.normalize("NFKC", _word_before(text, at, self.start))
         if after.isdigit() and (not word or word[-1].isdigit()):
             return None
+        head, _, tail = word.rpartition(".")
+        if len(head) > 3 and tail and head[-1].islower():
+            word = tail  # the mark before it had no blank after it
         low = word.lower().lstrip("'‘")
         if _UNMARKED.search(word[-1:] or " "):
             return None
@@ -197,12 +202,12 @@ class _Piece:
                     self.cuts[cut] = max(self.cuts.get(cut, 0.0), 5.0)
                 elif there and (text[m.end() : after + 1].strip() in "-*•‣◦▪·●○#" or ended or here or short or last == ":"):
                     self.cuts[cut] = max(self.cuts.get(cut, 0.0), 6.0)
-                elif here and short:
+                elif here and not first.islower() and (short or first.isupper() or first in OPENING + "\""):
                     self.cuts[cut] = max(self.cuts.get(cut, 0.0), 5.0)
                 elif cut not in self.cuts:
                     opens = line.strip()[0]
-                    heading = short and (opens.isupper() or opens.isdigit() or not opens.islower() and opens.isalpha()) and (first.isupper() or first.isdigit() or not first.islower() and (first.isalpha() or first in OPENING)) and last not in ",;:-–" and last.isalnum() and (begin == self.start or begin in self.ended)
-                    self.cuts[cut] = 2.0 if heading and len(line.split()) <= 8 else -4.0
+                    heading = not self.wrapped and short and (opens.isupper() or opens.isdigit() or not opens.islower() and opens.isalpha()) and (first.isupper() or first.isdigit() or not first.islower() and (first.isalpha() or first in OPENING)) and last not in ",;:-–" and last.isalnum() and (begin == self.start or begin in self.ended)
+                    self.cuts[cut] = 2.0 if heading and len(line.split()) <= 8 and line.strip().lower() not in OPENERS else -4.0
             if cut in self.cuts and self.cuts[cut] > 0:
                 self.ended.add(m.end())
             begin = m.end()
@@ -283,12 +288,24 @@ def _best_cover(text: str, start: int, end: int, cuts: dict[int, float]) -> list
     return out[::-1]
 
 
+def _is_wrapped(text: str, width: int) -> bool:
+    """Whether lines of running text are broken at a width: some line ends without a mark and the next goes on in lower case or, in scripts without case, is as long."""
+    lines = [x.strip() for x in _NEWLINE.split(text)]
+    for line, after in zip(lines, lines[1:]):
+        if not line or not after or _MARKER.match(line + " x") or _MARKER.match(after + " x") or line[-1] in ".!?…:;,\"”»" or line[-1] in MARKS_WIDE:
+            continue
+        if after[0].islower() or not (after[0].isupper() or after[0].isdigit()) and len(line) > 0.6 * width:
+            return True
+    return False
+
+
 def split_text(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of every sentence, in code points; end is after closing punctuation and quotes. None for null and blank texts."""
     if not text or not text.strip():
         return []
     lines = [len(x.strip()) for x in _NEWLINE.split(text)]
     width = max(lines)
+    wrapped = _is_wrapped(text, width)
     out: list[tuple[int, int]] = []
     pieces, at = [], 0
     for m in _BLANK_LINE.finditer(text):
@@ -302,7 +319,7 @@ def split_text(text: str | None) -> list[tuple[int, int]]:
             end -= 1
         if start == end:
             continue
-        piece = _Piece(text, start, end, width)
+        piece = _Piece(text, start, end, width, wrapped)
         begin = start
         for stop in _best_cover(text, start, end, piece.cuts):
             a, b = begin, stop
@@ -320,7 +337,7 @@ def sentences(documents: DataFrame, id_column: str = "doc_id", text: str = "text
     """(doc_id, start_char, end_char): one row per sentence of every document.
 
     Null, empty and blank texts have none. Very long texts are split whole; a sentence reaches over at most MAX_SPAN
-    candidates. Repeated rows give repeated sentences; other columns are dropped. Needs no shuffle.
+    candidates. Repeated rows give repeated sentences; other columns are dropped. Needs no shuffle, unless the input has fewer partitions than there are cores.
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,4 +351,4 @@ def sentences(documents: DataFrame, id_column: str = "doc_id", text: str = "text
             yield pd.DataFrame({id_column: pd.Series(ids, dtype=batch[id_column].dtype), "start_char": np.array(starts, dtype="int64"), "end_char": np.array(ends, dtype="int64")})
 
     kind = documents.schema[id_column].dataType.simpleString()
-    return documents.select(id_column, text).mapInPandas(split, f"`{id_column}` {kind}, start_char long, end_char long")
+    return spread(documents.select(id_column, text)).mapInPandas(split, f"`{id_column}` {kind}, start_char long, end_char long")
