@@ -25,9 +25,13 @@ def words(text: Column) -> Column:
 
 
 def features(ws: Column) -> Column:
-    """The distinct letter pairs of framed words."""
-    pairs = F.transform(ws, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("^"), w, F.lit("$")), i, F.lit(2))))
-    return F.array_distinct(F.flatten(pairs))
+    """The distinct letter pairs of framed words; linear in the words' length."""
+
+    def pairs(w: Column) -> Column:
+        chars = F.split(F.concat(F.lit("^"), w, F.lit("$")), "")
+        return F.zip_with(F.slice(chars, 1, F.length(w) + 1), F.slice(chars, 2, F.length(w) + 1), lambda x, y: F.concat(x, y))
+
+    return F.array_distinct(F.flatten(F.transform(ws, pairs)))
 
 
 def _ordered(sets: DataFrame, df: DataFrame, threshold: float) -> DataFrame:
