@@ -36,7 +36,7 @@ the a an this that these in on for with by we our it as at after before once whe
 however notably besides der die das ein eine jeder kein im nach mit wir dies es manche warum welche siehe laut le la les un une
 des selon dans pour après avec ce cette nous il elle voir pourquoi el los las una según para tras con este esta véase faltan
 """.split())
-SAYING = re.compile(r"\w[\w'’-]*(?: \w[\w'’-]*)? (?:said|says|asked|asks|wrote|writes|noted|notes|added|adds|replied|explained|reports|reported)\b")
+SAYING = re.compile(r"\w[\w'’-]*(?: \w[\w'’-]*)? (?:said|says|asked|asks|wrote|writes|noted|notes|added|adds|replied|explained|reports|reported)(?=\s*[.,;!])")
 SAYING_ZH = re.compile(r"[^。！？\n]{0,12}(?:说|問|问|道|写道|問道|问道)[。！？，,]")
 ORDINAL_BEFORE = frozenset("jeder jede jedes jeden jedem am der die das dem den des im vom zum beim bis ab seit und".split())
 
@@ -44,7 +44,7 @@ MARKS_WIDE = "。！？｡．؟۔।॥։።။។།"
 OPENING = "“„«‹「『（([【《〈"
 CLOSING = "”»›」』）)]】》〉"
 _END = re.compile(r"(?:[.!?…]+|[" + MARKS_WIDE + r"])+")
-_CLOSERS = re.compile(r"(?:[”’»›」』）)\]】》〉]|[\"'](?!\w)|“(?!\w)|[   ]»)+")
+_CLOSERS = re.compile(r"(?:[”’»›」』）)\]】》〉]|[\"'](?!\w)|“(?!\w)|\s»)+")
 _BLANK_LINE = re.compile(r"[^\S\n]*(?:\r\n?|\n| | |\x85)(?:[^\S\n]*(?:\r\n?|\n| ))+\s*|[^\S\n]* \s*")
 _NEWLINE = re.compile(r"\r\n?|\n| |\x85")
 _MARKER = re.compile(r"[^\S\n]*(?:[-*•‣◦▪–—·●○]|\(?\d{1,3}[.)]|#{1,6})[^\S\n]+\S")
@@ -80,7 +80,7 @@ class _Piece:
             at += 1
         return at
 
-    def _open(self, at: int, closed_quote: bool, spaced: bool, wide: bool, bracketed: bool = False) -> float | None:
+    def _open(self, at: int, closed_quote: bool, spaced: bool, wide: bool, bracketed: bool = False, wide_mark: bool = False) -> float | None:
         """What is said for a span opening at `at`; None if none can."""
         text = self.text
         ch = text[at]
@@ -96,11 +96,11 @@ class _Piece:
                 return None
             if wide and (rest.startswith("と") or rest.startswith("って") or "가" <= ch <= "힣" and not spaced):
                 return None
-            if SAYING.match(rest) or (wide and SAYING_ZH.match(rest)):
+            if SAYING.match(rest) and re.match(r"\w+", rest).group().lower() not in OPENERS or (wide and SAYING_ZH.match(rest)):
                 return None
-            if first.islower():
+            if first.islower() and not wide_mark:
                 return None
-        if first.islower():
+        if first.islower() and not wide_mark:
             return None if bracketed else -2.0
         score = 1.0 if first.isupper() or first.isdigit() or k > at else 0.7
         word = re.match(r"\w+", text[k : k + 20])
@@ -132,7 +132,7 @@ class _Piece:
             return -6.0
         if low in MAY_BE_LAST:
             return 0.2 if low in ("etc", "usw", "usf") else -2.5
-        if len(word) == 1 and word.isalpha() and word.isupper():
+        if len(word) == 1 and word.isalpha() and (word.isupper() or word.islower()):
             return -5.0
         if "." in word and not re.search(r"\d", word) and all(len(p) <= 2 for p in word.split(".")):
             return -3.0
@@ -175,13 +175,13 @@ class _Piece:
                 # no blank after the mark: only between a word and a capital, a digit or a script without case
                 before, ch = text[max(self.start, at - 2) : at], text[after]
                 if text[stop - 1] == ".":
-                    follows = ch in OPENING or ch.isupper() and (text[after + 1 : after + 2].islower() or text[after + 1 : after + 2].isspace())
+                    follows = ch in OPENING or ch.isupper() and (text[after + 1 : after + 2].islower() or text[after + 1 : after + 2].isspace() or text[after + 1 : after + 3] == ". ")
                     if not (follows and len(before) == 2 and before[0].isalnum() and (before[1].islower() or before[1].isdigit() or before[1] in ")]%")) and not (len(before) == 2 and "가" <= before[-1] <= "힣"):
                         continue
                     close -= 1.0
                 elif not (ch.isalnum() or ch in OPENING):
                     continue
-            open_ = self._open(after, quoted, spaced, wide, bool(closers))
+            open_ = self._open(after, quoted, spaced, wide, bool(closers), text[stop - 1] in MARKS_WIDE)
             if open_ is not None:
                 self.cuts[cut] = close + open_
 
