@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from citeloom.plans import core, problems
+from citeloom.session import ready
 
 MODULES = (core, problems)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
+    return {name: ready(f) for module in MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

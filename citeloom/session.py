@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,29 @@ def build_session(master: str = "local[*]", app: str = "citeloom", **conf: str)
     return builder.getOrCreate()
 
 
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers find this package at the path where the driver has it, whatever their working directory.
+
+    On a cluster whose nodes don't share that path, distribute the package with --py-files.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that shares the code first."""
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        share_code(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
