@@ -22,3 +22,9 @@ def cost_summary(calls: DataFrame, project_size: int | None, input_price: float
         F.round(avg_in * size, 3).alias("projected_input_tokens"), F.round(avg_out * size, 3).alias("projected_output_tokens"),
         F.round(cost_in, 6).alias("projected_input_cost"), F.round(cost_out, 6).alias("projected_output_cost"), F.round(cost_in + cost_out, 6).alias("projected_cost"),
     )
+
+
+def timing_summary(calls: DataFrame) -> DataFrame:
+    """One row: calls, total_seconds, mean_seconds of calls with a duration `seconds`; a null mean for none."""
+    known = calls.where(F.col("seconds").isNotNull())
+    return known.agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("total_seconds"), F.avg("seconds").alias("mean_seconds"))

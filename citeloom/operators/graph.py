@@ -18,6 +18,11 @@ def simple_edges(edges: DataFrame) -> DataFrame:
     return edges.where("src is not null and dst is not null").select("src", "dst").distinct()
 
 
+def gather(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows of the wanted (idx, pos), in order of pos; an idx wanted twice stands twice, one without a row is left out."""
+    return wanted.select("idx", "pos").join(rows, "idx").orderBy("pos")
+
+
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(idx, out_deg, in_deg) of every node, 0 for isolated ones; a self-loop counts on both sides."""
     ends = edges.select(F.col("src").alias("idx"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(edges.select(F.col("dst").alias("idx"), F.lit(0).alias("o"), F.lit(1).alias("i")))

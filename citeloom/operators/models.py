@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import FMClassifier
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, OneHotEncoder, VectorAssembler
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,16 +35,19 @@ def recommend_factors(model, users: DataFrame, items: DataFrame, asked: DataFram
 
 
 def content_features(pairs: DataFrame, users: DataFrame, bags: DataFrame, n_users: int, n_keywords: int) -> DataFrame:
-    """pairs with `features`: the user's one-hot, then the item's weighted keyword bag normalised to 1 (index 0 stands for no keyword)."""
-    width = n_users + n_keywords + 1
+    """pairs with `features`: the user's one-hot, then the item's weighted keyword bag normalised to 1 (index 0 stands for no keyword).
 
-    def build(u: int, bag) -> SparseVector:
-        total = sum(b["weight"] for b in bag or []) or 1
-        cells = {int(u): 1.0} | ({n_users + int(b["keyword_id"]): b["weight"] / total for b in bag} if bag else {n_users: 1.0})
-        return SparseVector(width, cells)
-
-    lists = bags.groupBy("item_id").agg(F.collect_list(F.struct("keyword_id", "weight")).alias("bag"))
-    return pairs.join(users, "user_id").join(lists, "item_id", "left").withColumn("features", F.udf(build, VectorUDT())("u", "bag"))
+    users: (user_id, u) numbered from 0 to n_users - 1; bags: (item_id, keyword_id, weight), ids from 1 to n_keywords.
+    """
+    repeated = F.flatten(F.transform("bag", lambda b: F.array_repeat(b["keyword_id"].cast("string"), b["weight"].cast("int"))))
+    lists = bags.groupBy("item_id").agg(F.collect_list(F.struct("keyword_id", "weight")).alias("bag")).select("item_id", repeated.alias("words"))
+    rows = pairs.join(users.select("user_id", F.col("u").cast("double").alias("_u")), "user_id").join(lists, "item_id", "left").withColumn("words", F.coalesce("words", F.array(F.lit("0"))))
+    # the vocabulary is as long as the model's own keyword part, which the driver holds
+    count = CountVectorizerModel.from_vocabulary([str(k) for k in range(n_keywords + 1)], inputCol="words", outputCol="_counts")
+    one_hot = OneHotEncoder(inputCol="_u", outputCol="_user", dropLast=False).fit(users.sparkSession.createDataFrame([(float(n_users - 1),)], "_u double"))
+    for stage in (count, Normalizer(p=1.0, inputCol="_counts", outputCol="_bag"), one_hot, VectorAssembler(inputCols=["_user", "_bag"], outputCol="features")):
+        rows = stage.transform(rows)
+    return rows.drop("_u", "words", "_counts", "_bag", "_user")
 
 
 def content_model(examples: DataFrame, factors: int = 16, epochs: int = 10, seed: int = 7):
@@ -53,6 +56,23 @@ def content_model(examples: DataFrame, factors: int = 16, epochs: int = 10, seed
     return fm.fit(examples)
 
 
+def loss_history(model) -> list[float]:
+    """The loss after each epoch of a model just trained; empty for a loaded one."""
+    return list(model.summary().objectiveHistory) if model.hasSummary else []
+
+
+def save(model, ids: dict[str, DataFrame], path: str) -> None:
+    """A model with the id tables that its rows stand for, so that changed inputs can't change their meaning."""
+    model.write().overwrite().save(f"{path}/model")
+    for name, table in ids.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark, kind, path: str, *names: str):
+    """A saved model of a kind (a pyspark.ml model class) and its id tables by name."""
+    return kind.load(f"{path}/model"), {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
 def content_vectors(model, people: DataFrame, bags: DataFrame, n_users: int) -> tuple[DataFrame, DataFrame]:
     """The machine's scores as dot products: (id, vector) of users and of items, bias terms as further places.
 

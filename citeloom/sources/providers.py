@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RESULT = "node_idx long, body string, input_tokens long, output_tokens long, status string, error string"
+RESULT = "node_idx long, body string, input_tokens long, output_tokens long, status string, error string, seconds double"
 
 
 @dataclass(frozen=True)
@@ -51,32 +51,32 @@ def offline_label(n_labels: int) -> Callable[[str], tuple[str, int, int]]:
 
 
 def call_all(requests: DataFrame, provider: Callable[[str], tuple[str, int, int]], policy: CallPolicy = CallPolicy()) -> DataFrame:
-    """(node_idx, body, input_tokens, output_tokens, status, error) of every request (node_idx, text), in no order.
+    """(node_idx, body, input_tokens, output_tokens, status, error, seconds) of every request (node_idx, text), in no order.
 
     status is success, failed after `attempts` errors, or fatal for an error that names an insufficient quota; failed calls
     have no tokens. Null and empty texts make no call and no row.
     """
 
     def one(idx: int, text: str) -> tuple:
-        error = ""
+        error, began = "", time.time()
         for attempt in range(policy.attempts):
             if policy.before:
                 time.sleep(policy.before)
             try:
-                return (idx, *provider(text), "success", None)
+                return (idx, *provider(text), "success", None, time.time() - began)
             except Exception as e:  # noqa: BLE001  a provider may raise anything
                 error = str(e)
                 if "insufficient_quota" in error:
-                    return idx, None, 0, 0, "fatal", error
+                    return idx, None, 0, 0, "fatal", error, time.time() - began
                 if attempt + 1 < policy.attempts:
                     time.sleep(policy.wait + policy.wait_more * attempt)
-        return idx, None, 0, 0, "failed", error
+        return idx, None, 0, 0, "failed", error, time.time() - began
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(policy.at_once) as pool:
             for batch in batches:
                 jobs = [pool.submit(one, i, t) for i, t in zip(batch["node_idx"], batch["text"])]
-                yield pd.DataFrame([j.result() for j in as_completed(jobs)], columns=["node_idx", "body", "input_tokens", "output_tokens", "status", "error"])
+                yield pd.DataFrame([j.result() for j in as_completed(jobs)], columns=["node_idx", "body", "input_tokens", "output_tokens", "status", "error", "seconds"])
 
     wanted = requests.select("node_idx", "text").where(F.length("text") > 0)
     return wanted.repartition(policy.tasks).mapInPandas(work, RESULT)

@@ -20,6 +20,25 @@ def edges_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else df
 
 
+def graph_dataset(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (src, dst), features (idx, features ARRAY<FLOAT>) and labels (idx, label_idx) of a benchmark folder.
+
+    edge.csv.gz is header-less; node-feat.csv.gz and node-label.csv.gz have one line per node, whose number is the node:
+    since files keep no order when read in parallel, a first column idx is expected where there is more than one column of
+    labels, and features are one column of numbers separated by spaces after idx.
+    """
+    edges = edges_csv(spark, f"{folder}/edge.csv.gz")
+    features = spark.read.schema("idx long, features string").csv(f"{folder}/node-feat.csv.gz").select("idx", F.transform(F.split(F.trim("features"), r"\s+"), lambda x: x.try_cast("float")).alias("features"))
+    labels = spark.read.schema("idx long, label_idx int").csv(f"{folder}/node-label.csv.gz")
+    return edges, features, labels
+
+
+def node_sample(spark: SparkSession, path: str) -> DataFrame:
+    """A saved sample: (idx, features, label_idx), labels unwrapped from lists of one."""
+    df = spark.read.parquet(path)
+    return df.withColumn("label_idx", F.try_element_at("label_idx", F.lit(1))) if dict(df.dtypes)["label_idx"].startswith("array") else df
+
+
 def id_map_csv(spark: SparkSession, path: str) -> DataFrame:
     """(idx LONG, paper_id STRING) of a CSV with header; names are trimmed and lower-cased, `node idx` is idx; other names are taken by place."""
     df = spark.read.option("header", True).csv(path)

@@ -34,3 +34,9 @@ def stamped(path: str, run_id: str) -> str:
 
 def sample(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
+
+
+def cost_report(summary: DataFrame, records: DataFrame, path: str) -> None:
+    """A report folder: the one-row summary and the call records, each as JSON lines; records stay distributed."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    records.write.mode("overwrite").json(f"{path}/records")

@@ -234,6 +234,51 @@ def test_files(spark, rows, tmp_path):
     assert spark.read.parquet(str(tmp_path / "good")).count() == spark.read.parquet(str(tmp_path / "bad")).count() == 1
 
 
+def test_datasets_and_gather(spark, rows, tmp_path):
+    import gzip
+
+    for name, body in (("edge", "0,1\n"), ("node-feat", "0,0.5 1.5\n1,2 3\n"), ("node-label", "0,4\n1,5\n")):
+        with gzip.open(tmp_path / f"{name}.csv.gz", "wt") as f:
+            f.write(body)
+    edges, features, labels = readers.graph_dataset(spark, str(tmp_path))
+    assert rows(edges) == [(0, 1)] and rows(labels) == [(0, 4), (1, 5)] and rows(features) == [(0, [0.5, 1.5]), (1, [2.0, 3.0])]
+    wanted = spark.createDataFrame([(1, 0), (0, 1), (1, 2), (9, 3)], "idx long, pos long")
+    assert [(r["idx"], r["label_idx"]) for r in graph.gather(labels, wanted).collect()] == [(1, 5), (0, 4), (1, 5)]
+    sinks.sample(labels.select("idx", F.array("label_idx").alias("label_idx")), str(tmp_path / "s"))
+    assert rows(readers.node_sample(spark, str(tmp_path / "s"))) == [(0, 4), (1, 5)]
+    calls = spark.createDataFrame([(1.0,), (3.0,), (None,)], "seconds double")
+    assert tuple(cost.timing_summary(calls).first()) == (2, 4.0, 2.0) and cost.timing_summary(calls.limit(0)).first()["mean_seconds"] is None
+    sinks.cost_report(cost.cost_summary(spark.createDataFrame([(1, 2)], "input_tokens long, output_tokens long"), 10), calls, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r/summary")).count() == 1 and spark.read.json(str(tmp_path / "r/records")).count() == 3
+
+
+def test_models(spark, tmp_path):
+    from pyspark.ml.classification import FMClassificationModel
+
+    from citeloom.operators import models
+
+    rng = random.Random(1)
+    pairs = [(u, i) for u in range(12) for i in range(20) if (i % 2 == u % 2) and rng.random() < 0.8]
+    seen = spark.createDataFrame(pairs, "user_id long, item_id long")
+    model, people, items = models.factorise(seen.withColumn("n", F.lit(1)), rank=4, iterations=5)
+    got = models.recommend_factors(model, people, items, people.where("user_id < 2"), seen, 2).collect()
+    assert {r["user_id"] for r in got} == {0, 1} and not {(r["user_id"], r["item_id"]) for r in got} & set(pairs)
+    bags = spark.createDataFrame([(i, 1 + i % 2, 1) for i in range(20)], "item_id long, keyword_id long, weight long")
+    data = seen.withColumn("label", F.lit(1.0)).unionAll(spark.createDataFrame([(u, i, 0.0) for u in range(12) for i in range(20) if i % 2 != u % 2], "user_id long, item_id long, label double"))
+    features = models.content_features(data, people, bags, 12, 2)
+    fm = models.content_model(features, factors=2, epochs=30)
+    left, right = models.content_vectors(fm, people, bags, 12)
+    from pyspark.ml.functions import vector_to_array
+
+    raw = {(r["user_id"], r["item_id"]): r["p"] for r in fm.transform(features).select("user_id", "item_id", vector_to_array("rawPrediction")[1].alias("p")).collect()}
+    l, r = {x["id"]: x["vector"] for x in left.collect()}, {x["id"]: x["vector"] for x in right.collect()}
+    assert all(abs(sum(a * b for a, b in zip(l[u], r[i])) - p) < 1e-6 for (u, i), p in raw.items())
+    assert models.loss_history(fm)
+    models.save(fm, {"users": people}, str(tmp_path / "m"))
+    again, ids = models.load(spark, FMClassificationModel, str(tmp_path / "m"), "users")
+    assert again.factors == fm.factors and ids["users"].count() == 12 and models.loss_history(again) == []
+
+
 def test_increments(spark, tmp_path):
     source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     for k in range(2):
