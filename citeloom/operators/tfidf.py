@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citeloom.functions.text import is_token, words
+from citeloom.session import spread
 
 
 def token_lists(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, words) of each document; what is no token is left out when the lists are opened. Null texts have none."""
-    return df.select(key, words(F.col(text)).alias("words"))
+    return spread(df.select(key, text)).select(key, words(F.col(text)).alias("words"))
 
 
 def _terms(lists: DataFrame, words: str | F.Column, *keep: str) -> DataFrame:

@@ -14,7 +14,7 @@ from citeloom.functions import text as T
 from citeloom.operators import cost, evaluate, graph, keywords, models, numbering, recommend, tfidf, users
 from citeloom.operators.references import number_key
 from citeloom.plans.core_sql import SQL  # noqa: F401
-from citeloom.session import cut_lineage
+from citeloom.session import cut_lineage, spread
 from citeloom.sources import providers
 from citeloom.sources.catalog import table
 from citeloom.streaming import enrich
@@ -33,7 +33,7 @@ def query(f):
 @query
 def clean_tokens(spark: SparkSession, d: str) -> DataFrame:
     words = F.filter(F.split(T.clean_text(F.col("text")), r"\s+"), lambda w: F.length(w) >= 2)
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+    return spread(table(spark, d, "documents", "doc_id", "text")).select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
 def _papers(spark: SparkSession, d: str) -> DataFrame:
