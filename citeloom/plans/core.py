@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from citeloom.functions import text as T
 from citeloom.operators import cost, evaluate, graph, keywords, models, numbering, recommend, tfidf, users
 from citeloom.operators.references import number_key
 from citeloom.plans.core_sql import SQL  # noqa: F401
-from citeloom.session import cut_lineage, spread
+from citeloom.session import cut_lineage, shared_folder, spread
 from citeloom.sources import providers
 from citeloom.sources.catalog import table
 from citeloom.streaming import enrich
@@ -468,10 +467,6 @@ def classify_offline(spark: SparkSession, d: str) -> DataFrame:
 @query
 def incremental_foreachbatch(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/documents.parquet").schema
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        home = f"{named.rstrip('/')}/incremental-{zlib.crc32(d.encode()):x}-{spark.sparkContext.applicationId}"
-    else:
-        home = tempfile.mkdtemp(prefix="citeloom-stream-")
+    home = f"{shared_folder(spark)}/incremental-{zlib.crc32(d.encode()):x}"
     enrich.run_incrementally(spark, f"{d}/documents.parquet", schema, f"{home}/out", f"{home}/state", lambda batch: batch.select("doc_id", F.size(F.split(T.clean_text(F.col("text")), r"\s+")).alias("n_words")))
     return spark.read.parquet(f"{home}/out").select("doc_id", "batch_id")

@@ -85,6 +85,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share, for files that outlive a job."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows; counts no further than one row beyond."""
     return df.limit(max_rows + 1).count() <= max_rows
