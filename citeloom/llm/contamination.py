@@ -1,17 +1,18 @@
 """Evaluation texts that stand in corpus documents: rare n-gram seeds, then Smith-Waterman alignment.
 
 Texts are compared as streams of letters and digits. Every n-gram of an item's stream is a seed; documents are read once
-against the seeds, hash against sorted hashes, and those with hits are kept. A seed that is far more frequent in the
-corpus than its item's seeds are on the whole belongs to a stock phrase and is put aside; the measure is relative to the item, so
-an item that leaked everywhere keeps its seeds. Pairs with enough rare seeds are aligned: around the hits, locally, with affine
-gaps that cost to open and nothing to extend, so that copies in a few pieces, with insertions and changed words, are
-one alignment. Many pairs are aligned at once, diagonal by diagonal.
+against the seeds, hash against sorted hashes, and those with hits are kept. A pair with enough of the item's seeds is aligned,
+however frequent they are in the corpus: a copy that stands in many documents makes its own seeds frequent. A pair with fewer is
+aligned too if it has enough of the rare ones, those not far more frequent than the item's seeds are on the whole. Pairs are
+aligned around the hits, locally, with affine gaps that cost to open and nothing to extend, so that copies in a few pieces, with
+insertions and changed words, are one alignment. Many pairs are aligned at once, diagonal by diagonal, and equal ones once in a task.
 
 Items are held in memory block by block (BLOCK_ITEMS); however many there are, each block reads the documents against itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,15 @@ LONG, SHORT = 12, 5
 BLOCK_ITEMS = 2_000
 #: A seed is rare if its document count is at most COMMON times the median of its item's seeds, plus COMMON_SLACK.
 COMMON, COMMON_SLACK = 4, 10
-#: Least share and number of an item's rare seeds that a candidate holds. A copy of half an item holds far more.
+#: Least share and number of an item's seeds, of all or of the rare ones, that a candidate holds. A copy of half an item holds far more.
 LEAST_SHARE, LEAST_SEEDS = 0.1, 2
 #: Letters kept on both sides of a hit.
 AROUND = 48
 MATCH, MISMATCH, OPEN = 1, -2, -8
 #: Cells of a diagonal that are worked on at once.
 CELLS = 16_000
+#: Alignments that a task remembers.
+REMEMBERED = 100_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -210,22 +213,28 @@ def _leaks_of_block(documents: DataFrame, items: list[tuple[int, str]], least: f
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds, (is_rare, n_rare) = shared.value, chosen.value
-        streams = {}
+        streams, known = {}, {}
         for batch in batches:
-            keys, pairs = [], []
+            keys, pairs = [], {}
+            if len(known) > REMEMBERED:
+                known = {}
             for doc, stream, places, found in zip(batch["doc_id"], batch["stream"], batch["places"], batch["seeds"]):
                 points, places, found = _points(stream), np.asarray(places, dtype=np.int64), np.asarray(found, dtype=np.int64).view(np.uint64)
                 entries = seeds.entries(np.unique(found))
-                items, counts = np.unique(seeds.owners[entries[is_rare[entries]]], return_counts=True)
-                for item, n in zip(items.tolist(), counts.tolist()):
-                    if n < max(LEAST_SEEDS, LEAST_SHARE * n_rare[item]):
+                items, which, counts = np.unique(seeds.owners[entries], return_inverse=True, return_counts=True)
+                rare = np.bincount(which, weights=is_rare[entries], minlength=len(items))
+                for item, n, r in zip(items.tolist(), counts.tolist(), rare.tolist()):
+                    if n < max(LEAST_SEEDS, LEAST_SHARE * len(seeds.of[item])) and r < max(LEAST_SEEDS, LEAST_SHARE * n_rare[item]):
                         continue
                     if item not in streams:
                         streams[item] = _points(seeds.streams[item]).astype(np.int64)
-                    keys.append((doc, item, len(streams[item])))
-                    pairs.append((streams[item], _around(points, places[np.isin(found, seeds.of[item])], LONG)))
-            scored = align(pairs)
-            rows = [(doc, item, s, got, got / size) for (doc, item, size), (s, got) in zip(keys, scored) if got >= least * size]
+                    part = _around(points, places[np.isin(found, seeds.of[item])], LONG)
+                    key = item, hashlib.blake2b(part.tobytes(), digest_size=16).digest()
+                    keys.append((doc, item, len(streams[item]), key))
+                    if key not in known:
+                        pairs[key] = streams[item], part
+            known |= zip(pairs, align([*pairs.values()]))
+            rows = [(doc, item, *known[key], known[key][1] / size) for doc, item, size, key in keys if known[key][1] >= least * size]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "matched", "share"])
 
     return hit.repartition(shuffle_width(spark), F.hash("doc_id")).mapInPandas(score, f"doc_id {kind}, item_id long, score long, matched long, share double")

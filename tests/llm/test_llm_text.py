@@ -112,6 +112,15 @@ def test_leaks(spark, monkeypatch, blocks):
     assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 1), *half, (10, 1), (11, 1), (12, 2), (13, 1), (13, 2), (15, 1)])
 
 
+def test_a_partial_copy_in_many_documents_is_found(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(40)]
+    edited = [w if k not in (3, 9, 15, 22, 28, 35) else "qqqqq" for k, w in enumerate(words)]
+    docs = [(0, " ".join(words))] + [(k, FILL + " ".join(edited)) for k in range(1, 61)] + [(61, FILL)]
+    got = contamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(61))
+
+
 def test_no_documents_or_items(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert contamination.leaks(docs, items).count() == 0
