@@ -28,8 +28,9 @@ MIN_SUFFIX = 3
 BLOCK = 30
 #: Least ratio of the longest common subsequence of two words taken for one.
 RATIO = 0.66
-#: Spellings in which a given name stands before it counts as a name of its own rather than a misspelling.
-ESTABLISHED = 4
+#: Spellings in which a given name stands before it counts as a name of its own rather than a misspelling of another one,
+#: unless that other one stands in FAR times as many: misspellings of a frequent name grow in number with the collection.
+ESTABLISHED, FAR = 4, 20
 
 # Titles and suffixes, particles, and words of organisations.
 TITLES = frozenset("dr prof professor phd ph.d mr mrs ms sir dipl ing".split())
@@ -156,7 +157,7 @@ def given_match(a: str, na: int, b: str, nb: int) -> str | None:
     fa, fb = FULL.get(a, frozenset()) | {a}, FULL.get(b, frozenset()) | {b}
     if fa & fb:
         return "full"
-    known_a, known_b = na >= ESTABLISHED or a in CLOSE_NAMES or a in FULL or a in NICKNAMES, nb >= ESTABLISHED or b in CLOSE_NAMES or b in FULL or b in NICKNAMES
+    known_a, known_b = (n >= ESTABLISHED and n * FAR > other or x in CLOSE_NAMES or x in FULL or x in NICKNAMES for x, n, other in ((a, na, nb), (b, nb, na)))
     if not (known_a and known_b) and same_word(a, b):
         return "slip"
     return None

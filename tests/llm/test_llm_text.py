@@ -40,6 +40,16 @@ def test_ambiguous_initials_link_to_nobody(spark):
     assert pairs == {("Jorge Lakrigirs", "Jorge P. Lakrigirs"), ("Jorge Lakrigirs", "Lakrigirs, J. P."), ("Jorge P. Lakrigirs", "Lakrigirs, J. P.")}
 
 
+def test_a_misspelled_given_name_is_linked_however_often_it_occurs(spark):
+    rng = random.Random(12)
+    families = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(120)]
+    typed = [f"Emre {f}" for f in families] + [f"Emmre {f}" for f in families[:5]]
+    pairs = names.spelling_pairs(names.link_spellings(spark.createDataFrame([(n,) for n in typed], "name string")))
+    assert {tuple(r) for r in pairs.collect()} == {(f"Emmre {f}", f"Emre {f}") for f in families[:5]}
+    assert names.given_match("igro", 70, "igor", 6850) == names.given_match("igro", 7, "igor", 685) == names.given_match("igro", 1, "igor", 69) == "slip"
+    assert names.given_match("jean", 14, "jan", 111) is None and names.given_match("emil", 140, "emir", 1110) is None
+
+
 def test_no_names(spark):
     linked = names.link_spellings(spark.createDataFrame([(None,)], "name string"))
     assert linked.count() == 0 and names.spelling_pairs(linked).count() == 0
