@@ -2,7 +2,8 @@
 
 Spellings are folded and parsed into a family name and given names (or, for organisations, a bag of words). Suffixes
 of every word are indexed. A suffix shared by few spellings makes a block; a common one is refined with another word's initial,
-then with its first three letters, and only what is still common then is discarded, except whole words, which never are.
+then with its first three letters, and only what is still common then is discarded, except whole words, which never are: there
+an initial, or another word of two letters, meets all others that begin with it.
 Pairs of a block are compared word by word by longest-common-subsequence ratio.
 
 Links are of three kinds: all words agree; a middle name is missing; a given name is only an initial. The weaker kinds
@@ -269,8 +270,8 @@ def candidate_pairs(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     sizes = refined.groupBy("suffix", "key").agg(F.count_distinct("node").alias("n"))
     blocks = blocks.unionAll(refined.join(sizes.where(F.col("n").between(2, block)), ["suffix", "key"]).groupBy("suffix", "key").agg(F.collect_set("node").alias("nodes")).select("nodes"))
     still = sizes.where(F.col("n") > block).select("suffix", F.col("key").alias("one"))
-    refined = other.withColumn("one", F.substring("o", 1, 1)).where(F.length("o") >= 3).join(still, ["suffix", "one"]).withColumn("key", F.substring("o", 1, 3))
-    refined = cut_lineage(refined.select("node", "suffix", "whole", "key").distinct())
+    refined = other.withColumn("one", F.substring("o", 1, 1)).join(still, ["suffix", "one"]).withColumn("key", F.substring("o", 1, 3))
+    refined = cut_lineage(refined.select("node", "suffix", "whole", "one", "key").distinct())
     sizes = refined.groupBy("suffix", "key").agg(F.count_distinct("node").alias("n"))
     blocks = blocks.unionAll(refined.join(sizes.where(F.col("n").between(2, block)), ["suffix", "key"]).groupBy("suffix", "key").agg(F.collect_set("node").alias("nodes")).select("nodes"))
     pairs = blocks.distinct().select(F.explode("nodes").alias("a"), "nodes").select("a", F.explode("nodes").alias("b")).where("a < b")
@@ -278,6 +279,11 @@ def candidate_pairs(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     # whole words are never discarded, however common
     huge = refined.where("whole").join(sizes.where(F.col("n") > block), ["suffix", "key"]).select("suffix", "key", "node").distinct()
     pairs = pairs.unionAll(huge.withColumnRenamed("node", "a").join(huge.withColumnRenamed("node", "b"), ["suffix", "key"]).where("a < b").select("a", "b"))
+    # an initial or a word of two letters meets all that begin with the same letter
+    alike = refined.where("whole").select("suffix", "one", "node", "key").distinct()
+    short = alike.where(F.length("key") < 3).select("suffix", "one", F.col("node").alias("a")).distinct()
+    met = short.join(alike.select("suffix", "one", F.col("node").alias("b")).distinct(), ["suffix", "one"]).where("a <> b")
+    pairs = pairs.unionAll(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     return pairs.distinct()
 
 

@@ -65,6 +65,18 @@ def test_blocks_miss_no_pair_that_shares_a_whole_word_and_an_initial(spark, bloc
     assert want <= got
 
 
+@pytest.mark.parametrize("block", [3, 30])
+def test_names_with_only_initials_or_two_letters_meet_a_common_family_name(spark, block):
+    rng = random.Random(13)
+    givens = ["j", "b", "bo", "jo"] + [rng.choice("jb") + "".join(rng.choice("abcdef") for _ in range(5)) for _ in range(80)]
+    df = spark.createDataFrame([(g, ["smith"] + [g] * (len(g) > 1), ["smith", g]) for g in givens], "node string, words array<string>, others array<string>")
+    got = {tuple(r) for r in names.candidate_pairs(df, block).collect()}
+    assert {(a, b) for a in givens for b in givens if a < b and a[0] == b[0] and min(len(a), len(b)) < 3} <= got
+    typed = ["Bo Smith", "Smith, B.", "J. Q. Smith", "Jquux Qabc Smith"] + [f"J{g[1:]} Smith" for g in givens if len(g) > 2]
+    linked = {r["name"]: r["entity"] for r in names.link_spellings(spark.createDataFrame([(n,) for n in typed], "name string")).collect()}
+    assert linked["Bo Smith"] == linked["Smith, B."] and linked["J. Q. Smith"] == linked["Jquux Qabc Smith"]
+
+
 def test_lcs_and_slips():
     assert names.lcs_ratio("abcd", "abxd") == 0.75 and names.lcs_ratio("", "") == 1.0
     assert all(names.one_slip(a, b) for a, b in [("abcd", "abdc"), ("abc", "abcd"), ("abc", "axc"), ("a", "a")])
