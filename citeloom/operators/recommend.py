@@ -185,21 +185,51 @@ def bag_ranking(profiles: DataFrame, bags: DataFrame, seen: DataFrame | None, k:
     return _ranked(_union(parts), k, ascending)
 
 
+def _draws(positives: DataFrame, per_positive: int, tries: int, seed: int) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """(distinct positives, numbered items, their count, accepted draws (user_id, of, item_id, j, i))."""
+    pairs = cut_lineage(positives.where("user_id is not null and item_id is not null").select("user_id", "item_id").distinct())
+    items = cut_lineage(dense_ids(pairs.select("item_id").distinct(), ["item_id"], "number"))
+    n = items.count()
+    drawn = pairs.select("user_id", F.col("item_id").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("j"))
+    number = F.pmod(F.col("user_id") * 7919 + F.col("of") * 104729 + F.col("j") * 1299709 + seed, F.lit(max(n, 1)))
+    drawn = drawn.withColumn("number", number).join(items, "number").join(pairs, ["user_id", "item_id"], "left_anti")
+    order = Window.partitionBy("user_id", "of").orderBy("j")
+    return pairs, items, n, drawn.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_positive).select("user_id", "of", "item_id", "j", "i")
+
+
 def negative_samples(positives: DataFrame, per_positive: int = 4, tries: int = 8, seed: int = 17) -> DataFrame:
     """(user_id, item_id, draw): up to per_positive items for each distinct positive (user_id, item_id) that the user has no positive with.
 
     Draw j of a positive is item number (user * 7919 + item * 104729 + j * 1299709 + seed) mod n of the distinct items in order; of
     `tries` draws the first that are no positives are kept, and an item drawn twice for one user counts once, at its first
     draw. So a user who has nearly every item gets fewer, and nothing loops. Null users and items are no positives.
+    For training, where every positive needs all of its negatives, see training_negatives.
     """
-    pairs = cut_lineage(positives.where("user_id is not null and item_id is not null").select("user_id", "item_id").distinct())
-    items = cut_lineage(dense_ids(pairs.select("item_id").distinct(), ["item_id"], "number"))
-    n = items.count()
+    pairs, _, n, kept = _draws(positives, per_positive, tries, seed)
     if n == 0:
         return pairs.withColumn("draw", F.lit(0).cast("long"))
-    drawn = pairs.select("user_id", F.col("item_id").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("j"))
-    number = F.pmod(F.col("user_id") * 7919 + F.col("of") * 104729 + F.col("j") * 1299709 + seed, F.lit(n))
-    drawn = drawn.withColumn("number", number).join(items, "number").join(pairs, ["user_id", "item_id"], "left_anti")
-    order = Window.partitionBy("user_id", "of").orderBy("j")
-    kept = drawn.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_positive)
     return kept.groupBy("user_id", "item_id").agg(F.min("j").cast("long").alias("draw"))
+
+
+def training_negatives(positives: DataFrame, per_positive: int = 4, tries: int = 8, seed: int = 17) -> DataFrame:
+    """(user_id, of, item_id): exactly per_positive rows for each distinct positive (user_id, of), of items the user has no positive with.
+
+    The draws are those of negative_samples, but nothing is merged. What `tries` draws leave open is taken from the user's
+    unseen items: a hash of the positive and the draw, mod their count, is a place among them in order. So an item may be drawn
+    again, as with redrawing. Only users who have every item get no rows.
+    """
+    pairs, items, n, kept = _draws(positives, per_positive, tries, seed)
+    kept = cut_lineage(kept)
+    got = kept.groupBy("user_id", "of").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    short = pairs.select("user_id", F.col("item_id").alias("of")).join(got, ["user_id", "of"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < per_positive)
+    short = cut_lineage(short.select("user_id", "of", F.explode(F.sequence(F.col("n") + 1, F.lit(per_positive))).alias("i")))
+    mine = pairs.join(short.select("user_id").distinct(), "user_id", "left_semi").join(items, "item_id").select("user_id", "number")
+    unseen = mine.groupBy("user_id").agg((F.lit(n) - F.count(F.lit(1))).alias("unseen")).where("unseen > 0")
+    place = F.pmod(F.xxhash64("user_id", "of", "i", F.lit(seed)), F.col("unseen"))
+    asked = short.join(unseen, "user_id").select("user_id", "of", place.alias("place"), F.lit(1).alias("ask"))
+    # a positive's number less the positives before it is the count of unseen items before it
+    before = mine.withColumn("place", F.col("number") - F.row_number().over(Window.partitionBy("user_id").orderBy("number")) + 1)
+    both = before.select("user_id", F.lit(None).cast(pairs.schema["item_id"].dataType).alias("of"), "place", F.lit(0).alias("ask")).unionByName(asked)
+    passed = F.count_if(F.col("ask") == 0).over(Window.partitionBy("user_id").orderBy("place", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    filled = both.withColumn("number", F.col("place") + passed).where("ask = 1").join(items, "number").select("user_id", "of", "item_id")
+    return kept.select("user_id", "of", "item_id").unionByName(filled)

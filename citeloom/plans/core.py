@@ -422,7 +422,7 @@ def content_recommend(spark: SparkSession, d: str) -> DataFrame:
     bags = cut_lineage(keywords.weighted_bags(rows, vocab))
     seen = cut_lineage(table(spark, d, "final_user_interactions", "user_id", "item_id").join(bags.select("item_id").distinct(), "item_id", "left_semi").where("user_id is not null").select("user_id", "item_id").distinct())
     people = cut_lineage(numbering.dense_ids(seen.select("user_id").distinct(), ["user_id"], "u"))
-    negatives = recommend.negative_samples(seen)
+    negatives = recommend.training_negatives(seen)
     pairs = seen.withColumn("label", F.lit(1.0)).unionAll(negatives.select("user_id", "item_id", F.lit(0.0).alias("label")))
     size = people.count(), vocab.count()
     model = models.content_model(cut_lineage(models.content_features(pairs, people, bags, *size)), factors=8, epochs=5)

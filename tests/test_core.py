@@ -167,6 +167,19 @@ def test_negatives(spark):
     assert recommend.negative_samples(pos.limit(0)).count() == 0
 
 
+def test_every_positive_gets_all_its_training_negatives(spark):
+    have = {1: set(range(0, 400, 2)) | set(range(1, 380, 2)), 2: {3, 398}, 3: set(range(400)), 4: set(range(399))}
+    pos = spark.createDataFrame([(u, 10 * i) for u, items in have.items() for i in items] + [(1, 0), (None, 10), (5, None)], "user_id long, item_id long")
+    got = [tuple(r) for r in recommend.training_negatives(pos).collect()]
+    counts = {}
+    for u, of, i in got:
+        assert of // 10 in have[u] and i % 10 == 0 and 0 <= i // 10 < 400 and i // 10 not in have[u]
+        counts[u, of // 10] = counts.get((u, of // 10), 0) + 1
+    assert counts == {(u, i): 4 for u in (1, 2, 4) for i in have[u]}
+    assert {i // 10 for u, _, i in got if u == 1} == set(range(400)) - have[1]
+    assert recommend.training_negatives(pos.limit(0)).count() == 0
+
+
 def test_components(spark, rows):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = dict(rows(components.components(spark.createDataFrame(chain, "a long, b long"))))
