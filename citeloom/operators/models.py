@@ -22,7 +22,7 @@ def factorise(pairs: DataFrame, rank: int = 64, iterations: int = 10, seed: int
     users = cut_lineage(dense_ids(pairs.select("user_id").distinct(), ["user_id"], "u"))
     items = cut_lineage(dense_ids(pairs.select("item_id").distinct(), ["item_id"], "i"))
     rows = pairs.join(users, "user_id").join(items, "item_id").select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), F.col("n").cast("float").alias("n"))
-    als = ALS(rank=rank, maxIter=iterations, implicitPrefs=True, seed=seed, userCol="u", itemCol="i", ratingCol="n", checkpointInterval=-1)
+    als = ALS(rank=rank, maxIter=iterations, implicitPrefs=True, seed=seed, userCol="u", itemCol="i", ratingCol="n", checkpointInterval=5)
     return als.fit(rows), users, items
 
 

@@ -410,7 +410,7 @@ def negative_samples(spark: SparkSession, d: str) -> DataFrame:
 @query
 def mf_recommend(spark: SparkSession, d: str) -> DataFrame:
     seen = cut_lineage(table(spark, d, "final_user_interactions", "user_id", "item_id").where("user_id is not null and item_id is not null").groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")))
-    model, people, items = models.factorise(seen, rank=32, iterations=5)
+    model, people, items = models.factorise(seen, rank=64, iterations=30)
     asked = seen.select("user_id").where("user_id % 100 = 0").distinct()
     return models.recommend_factors(model, people, items, asked, seen.select("user_id", "item_id"))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from citeloom.functions import parse
 from citeloom.functions import text as T
 from citeloom.functions.vectors import cosine, unit_score
-from citeloom.operators import components, cost, evaluate, graph, keywords, numbering, recommend, tfidf, users
+from citeloom.operators import components, cost, evaluate, graph, keywords, models, numbering, recommend, tfidf, users
+from citeloom.plans import core
 from citeloom.sources import providers, readers, sinks
 from citeloom.streaming import enrich
 
@@ -180,6 +181,14 @@ def test_every_positive_gets_all_its_training_negatives(spark):
     assert recommend.training_negatives(pos.limit(0)).count() == 0
 
 
+def test_mf_recommend_trains_at_full_size(spark, monkeypatch):
+    sizes, real = {}, models.factorise
+    monkeypatch.setattr(core, "table", lambda *_: spark.createDataFrame([(u, i) for u in (0, 1, 2, 100) for i in range(6) if (u + i) % 3], "user_id long, item_id long"))
+    monkeypatch.setattr(models, "factorise", lambda pairs, **size: sizes.update(size) or real(pairs, **size))
+    got = core.mf_recommend(spark, "").collect()
+    assert sizes == {"rank": 64, "iterations": 30} and sorted({r["user_id"] for r in got}) == [0, 100]
+
+
 def test_components(spark, rows):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = dict(rows(components.components(spark.createDataFrame(chain, "a long, b long"))))
