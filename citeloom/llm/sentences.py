@@ -3,8 +3,11 @@
 A text is cut at its blank lines; within a piece, places where a sentence may end are candidates (marks with the
 quotes that close after them, line breaks, and spaces in scripts without marks). The best way to cover a piece by
 spans between candidates is found by dynamic programming; a span is scored as a whole: how it opens, how it closes,
-its length, and whether its quotations and brackets are balanced. So a mark inside a quotation, whose split would leave
-two spans unbalanced, loses against one balanced span.
+its length, whether both its ends stand outside of quotations and brackets, and whether it is a line of its own that
+reads like a heading. So a mark inside a quotation, however many sentences that has, loses against one span around it.
+
+No span is too long. Candidates that every best cover has, or none has, are told beforehand by bounds on what a
+span's length and line can be worth (`_settled`); the programme works between the former, over what is left.
 """
 
 from __future__ import annotations
@@ -20,8 +23,12 @@ from pyspark.sql import DataFrame
 
 from citeloom.session import spread
 
-#: Candidates that one span may reach over.
-MAX_SPAN = 80
+#: Said of an end after which, or a beginning before which, hardly any sentence stops.
+NEVER = -20.0
+#: What either end of a span loses inside of a quotation or bracket.
+INSIDE = 4.0
+#: What a whole line that reads like a heading gains as a span.
+HEADING = 6.0
 
 # Abbreviations, without their last period, in lower case.
 NEVER_LAST = frozenset("""
@@ -59,8 +66,7 @@ def _word_before(text: str, end: int, start: int) -> str:
     return text[at:end]
 
 
-def _is_german(words: str) -> bool:
-    return bool(re.search(r"\b(?:der|die|das|und|ein|eine|obwohl|nach|wird|mit|den)\b", words))
+_GERMAN = re.compile(r"\b(?:der|die|das|und|ein|eine|obwohl|nach|wird|mit|den)\b")
 
 
 class _Piece:
@@ -71,21 +77,21 @@ class _Piece:
         self.german: bool | None = None
         #: place after which a span ends -> what is said for ending there and opening after it
         self.cuts: dict[int, float] = {}
+        #: place at the end of a line that may be a heading -> the line's first letter
+        self.headings: dict[int, int] = {}
         self._marks()
         self._lines()
         self._spaces()
 
     def _next(self, at: int) -> int:
-        while at < self.end and self.text[at].isspace():
-            at += 1
-        return at
+        return _first_letter(self.text, at, self.end)
 
-    def _open(self, at: int, closed_quote: bool, spaced: bool, wide: bool, bracketed: bool = False, wide_mark: bool = False) -> float | None:
-        """What is said for a span opening at `at`; None if none can."""
+    def _open(self, at: int, closed_quote: bool, spaced: bool, wide: bool, bracketed: bool = False, wide_mark: bool = False) -> float:
+        """What is said for a span opening at `at`."""
         text = self.text
         ch = text[at]
         if ch in ",;:)]}”»›」』）】》〉、，；：%" or unicodedata.category(ch) in ("Pe", "Pf"):
-            return None
+            return NEVER
         k = at
         while k < self.end and (text[k] in OPENING or text[k] in "\"'‘¿¡*-–—   "):
             k += 1
@@ -93,21 +99,19 @@ class _Piece:
         rest = text[at : at + 60]
         if closed_quote:
             if not spaced and not wide and first.isalnum() and k == at:
-                return None
+                return NEVER
             if wide and (rest.startswith("と") or rest.startswith("って") or "가" <= ch <= "힣" and not spaced):
-                return None
+                return NEVER
             if SAYING.match(rest) and re.match(r"\w+", rest).group().lower() not in OPENERS or (wide and SAYING_ZH.match(rest)):
-                return None
-            if first.islower() and not wide_mark:
-                return None
+                return NEVER
         if first.islower() and not wide_mark:
-            return None if bracketed else -2.0
+            return NEVER if closed_quote or bracketed else -2.0
         score = 1.0 if first.isupper() or first.isdigit() or k > at else 0.7
         word = re.match(r"\w+", text[k : k + 20])
         return score + (0.5 if word and word.group().lower() in OPENERS else 0.0)
 
-    def _close(self, at: int, stop: int) -> float | None:
-        """What is said for a span closing with the mark [at, stop); None if none can."""
+    def _close(self, at: int, stop: int) -> float:
+        """What is said for a span closing with the mark [at, stop)."""
         text, mark = self.text, self.text[at:stop]
         if mark[-1] in MARKS_WIDE and not (mark[-1] == "．"):
             return 4.0
@@ -119,13 +123,13 @@ class _Piece:
         after = text[stop : stop + 1]
         word = unicodedata.normalize("NFKC", _word_before(text, at, self.start))
         if after.isdigit() and (not word or word[-1].isdigit()):
-            return None
+            return NEVER
         head, _, tail = word.rpartition(".")
         if len(head) > 3 and tail and head[-1].islower():
             word = tail  # the mark before it had no blank after it
         low = word.lower().lstrip("'‘")
         if _UNMARKED.search(word[-1:] or " "):
-            return None
+            return NEVER
         if not word:
             return -1.0 if not text[max(self.start, at - 1) : at].strip() else 2.5
         if low in NEVER_LAST or word == "Ms" or low in NOT_LAST_BEFORE_NUMBER and text[stop : stop + 3].strip()[:1].isdigit():
@@ -138,7 +142,7 @@ class _Piece:
             return -3.0
         if word.isdigit():
             if not text[self._line_start(at - len(word)) : at - len(word)].strip() and len(word) <= 3:
-                return None  # numbers a line
+                return NEVER  # numbers a line
             if len(word) <= 2:
                 gap = at - len(word)
                 while gap > self.start and text[gap - 1].isspace():
@@ -151,7 +155,7 @@ class _Piece:
 
     def _german(self) -> bool:
         if self.german is None:
-            self.german = _is_german(self.text[self.start : min(self.end, self.start + 4000)])
+            self.german = bool(_GERMAN.search(self.text, self.start, self.end))
         return self.german
 
     def _line_start(self, at: int) -> int:
@@ -162,8 +166,6 @@ class _Piece:
         for m in _END.finditer(text, self.start, self.end):
             at, stop = m.span()
             close = self._close(at, stop)
-            if close is None:
-                continue
             closers = _CLOSERS.match(text, stop, self.end)
             quoted = bool(closers) and bool(re.search(r"[\"”’»›」』“]", closers.group()))
             cut = closers.end() if closers else stop
@@ -177,13 +179,13 @@ class _Piece:
                 if text[stop - 1] == ".":
                     follows = ch in OPENING or ch.isupper() and (text[after + 1 : after + 2].islower() or text[after + 1 : after + 2].isspace() or text[after + 1 : after + 3] == ". ")
                     if not (follows and len(before) == 2 and before[0].isalnum() and (before[1].islower() or before[1].isdigit() or before[1] in ")]%")) and not (len(before) == 2 and "가" <= before[-1] <= "힣"):
-                        continue
+                        close = NEVER
                     close -= 1.0
                 elif not (ch.isalnum() or ch in OPENING):
-                    continue
-            open_ = self._open(after, quoted, spaced, wide, bool(closers), text[stop - 1] in MARKS_WIDE)
-            if open_ is not None:
-                self.cuts[cut] = close + open_
+                    close = NEVER
+            if close > NEVER:
+                close += self._open(after, quoted, spaced, wide, bool(closers), text[stop - 1] in MARKS_WIDE)
+            self.cuts[cut] = close
 
     def _lines(self) -> None:
         text = self.text
@@ -197,28 +199,21 @@ class _Piece:
                 here, there = bool(_MARKER.match(text, begin, m.start())), bool(_MARKER.match(text, m.end(), self.end))
                 short = len(line.strip()) < 0.62 * self.width
                 last, first = text[cut - 1], text[after]
-                ended = cut in self.cuts or last in "!?…" or last in MARKS_WIDE
+                ended = self.cuts.get(cut, NEVER) > NEVER / 2 or last in "!?…" or last in MARKS_WIDE
                 if _UNMARKED.match(last) or _UNMARKED.match(first):
                     self.cuts[cut] = max(self.cuts.get(cut, 0.0), 5.0)
                 elif there and (text[m.end() : after + 1].strip() in "-*•‣◦▪·●○#" or ended or here or short or last == ":"):
                     self.cuts[cut] = max(self.cuts.get(cut, 0.0), 6.0)
                 elif here and not first.islower() and (short or first.isupper() or first in OPENING + "\""):
                     self.cuts[cut] = max(self.cuts.get(cut, 0.0), 5.0)
-                elif cut not in self.cuts:
+                elif self.cuts.get(cut, NEVER) <= NEVER / 2:
                     opens = line.strip()[0]
-                    heading = not self.wrapped and short and (opens.isupper() or opens.isdigit() or not opens.islower() and opens.isalpha()) and (first.isupper() or first.isdigit() or not first.islower() and (first.isalpha() or first in OPENING)) and last not in ",;:-–" and last.isalnum() and (begin == self.start or begin in self.ended)
-                    self.cuts[cut] = 2.0 if heading and len(line.split()) <= 8 and line.strip().lower() not in OPENERS else -4.0
-            if cut in self.cuts and self.cuts[cut] > 0:
-                self.ended.add(m.end())
+                    heading = not self.wrapped and short and (opens.isupper() or opens.isdigit() or not opens.islower() and opens.isalpha()) and (first.isupper() or first.isdigit() or not first.islower() and (first.isalpha() or first in OPENING)) and last not in ",;:-–" and last.isalnum()
+                    self.cuts[cut] = -4.0
+                    if heading and len(line.split()) <= 8 and line.strip().lower() not in OPENERS:
+                        self.headings[cut] = self._next(begin)
             begin = m.end()
 
-    @property
-    def ended(self) -> set[int]:
-        """Starts of lines before which a sentence is likely to have ended."""
-        if not hasattr(self, "_ended"):
-            self._ended: set[int] = set()
-        return self._ended
-
     def _spaces(self) -> None:
         """In scripts without sentence marks a space ends a sentence, unless it stands beside a number or a Latin word."""
         text = self.text
@@ -234,60 +229,121 @@ class _Piece:
                 self.cuts[at] = max(self.cuts.get(at, 0.0), 5.0)
 
 
-def _balance(text: str, places: list[int]) -> tuple[list[int], list[int]]:
-    """Depth of open quotes and brackets, and parity of straight quotes, at each place."""
-    depth, parity, low = 0, 0, 0
-    depths, parities, at = [], [], places[0]
-    for stop in places:
-        for ch in text[at:stop]:
-            if ch == '"':
-                parity ^= 1
-            elif ch == "„":
-                depth, low = depth + 1, low + 1
-            elif ch == "“":
-                if low:
-                    depth, low = depth - 1, low - 1
-                else:
-                    depth += 1
-            elif ch in OPENING:
-                depth += 1
-            elif ch in CLOSING:
-                depth -= 1
-        depths.append(depth)
-        parities.append(parity)
-        at = stop
-    return depths, parities
+_QUOTE = re.compile(r'["„“”«»‹›「」『』()（）\[\]【】《》〈〉]')
+_PAIRS = {"“": "”", "„": "“", "«": "»", "‹": "›", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉", '"': '"', "»": "«", "›": "‹"}
+
+
+def quotations(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(place of the opening mark, place of the closing one) of the outermost quotations and brackets in [start, end).
+
+    Which side a straight quote or a guillemet is on is told by the blanks beside it. A mark without its partner means nothing.
+    """
+    stack: list[tuple[str, int]] = []
+    found: list[tuple[int, int]] = []
+    for m in _QUOTE.finditer(text, start, end):
+        ch, at = m.group(), m.start()
+        free_left = at == start or text[at - 1].isspace() or text[at - 1] in OPENING
+        free_right = at + 1 == end or text[at + 1].isspace() or not text[at + 1].isalnum() and text[at + 1] not in OPENING
+        waiting = {c for c, _ in stack}
+        if ch == '"':
+            opens = ch not in waiting if free_left == free_right else free_left
+        elif ch == "“":
+            opens = "“" not in waiting
+        elif ch in "»›":
+            opens = free_left and not free_right
+        elif ch in "«‹":
+            opens = not (free_right and not free_left)
+        else:
+            opens = ch in _PAIRS
+        if ch == "”" and "”" not in waiting and "“" in waiting:
+            ch = "“"  # the other close of a low quote
+        if opens:
+            stack.append((_PAIRS[ch], at))
+        elif ch in waiting:
+            while stack[-1][0] != ch:
+                stack.pop()
+            found.append((stack.pop()[1], at))
+    outer: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if not outer or a > outer[-1][1]:
+            outer.append((a, b))
+    return outer
 
 
 def _length_score(n: int) -> float:
     return -0.25 * abs(math.log((n + 1) / 70)) - (2.0 if n < 2 else 0.0)
 
 
-def _best_cover(text: str, start: int, end: int, cuts: dict[int, float]) -> list[int]:
+#: Most that two spans' lengths can be worth above that of the one they make: of lengths a <= b it is at most
+#: 0.25 log((a + b + 1) / (b + 1)) <= 0.25 log 2, since no length is worth more than 0.
+SPLIT_GAIN = 0.25 * math.log(2)
+
+
+def _split_loss(n: int, gap: int) -> float:
+    """Most that one span of up to n letters can be worth, by its length, above any two it is cut into of at least `gap` letters."""
+    short = 0.25 * math.log(70 / 2) + (2.0 if gap < 2 else 0.0)
+    return short + max(short, 0.25 * math.log(max(n + 1, 70) / 70))
+
+
+def _settled(places: list[int], said: list[float], first: list[int] | None, headings: dict[int, int]) -> tuple[list[int], set[int]]:
+    """Candidates that may be in a best cover, and those among them that must be. first: the first letter after each place.
+
+    Taking a candidate out of a cover changes its score by minus what is said of it and at most SPLIT_GAIN, and putting
+    one in by what is said and at most _split_loss, with HEADING more where a line that may be a heading ends or begins.
+    """
+    gap = min(b - a for a, b in zip(places, places[1:]))
+    sure = _split_loss(places[-1] - places[0], gap)
+    inner = range(1, len(places) - 1)
+    if not headings:
+        return [k for k in inner if said[k] > -SPLIT_GAIN], {k for k in inner if said[k] > sure}
+    lines = set(headings.values())
+    kept = [k for k in inner if said[k] + HEADING * ((places[k] in headings) + (first[k] in lines)) > -SPLIT_GAIN]
+    return kept, {k for k in kept if said[k] > sure + HEADING}
+
+
+def _best_cover(text: str, start: int, end: int, cuts: dict[int, float], headings: dict[int, int]) -> list[int]:
     """The ends of the best spans that cover [start, end)."""
     places = [start, *sorted(c for c in cuts if start < c < end), end]
     if len(places) == 2:
         return [end]
-    depths, parities = _balance(text, places)
-    n = len(places)
-    best, back = [0.0] + [-math.inf] * (n - 1), [0] * n
-    for j in range(1, n):
-        gain = cuts.get(places[j], 0.0) if j < n - 1 else 0.0
-        for i in range(max(0, j - MAX_SPAN), j):
-            score = best[i] + gain + _length_score(places[j] - places[i])
-            if depths[i] != depths[j]:
-                score -= 3.0
-            if parities[i] != parities[j]:
-                score -= 2.5
-            if score > best[j]:
-                best[j], back[j] = score, i
-    out, j = [], n - 1
+    said, inside = [0.0, *(cuts[p] for p in places[1:-1]), 0.0], quotations(text, start, end)
+    at = 0
+    for k in range(1, len(places) - 1):
+        while at < len(inside) and inside[at][1] < places[k]:
+            at += 1
+        if at < len(inside) and inside[at][0] < places[k]:
+            said[k] -= 2 * INSIDE
+    first = [_first_letter(text, p, end) for p in places] if headings else None
+    kept, sure = _settled(places, said, first, headings)
+    nodes = [0, *kept, len(places) - 1]
+    spots, gains = np.array([places[k] for k in nodes]), [said[k] for k in nodes]
+    best, back, low = np.zeros(len(nodes)), [0] * len(nodes), 0
+    for j in range(1, len(nodes)):
+        if j - low == 1 and not headings:
+            best[j], back[j] = best[low] + gains[j] + _length_score(int(spots[j] - spots[low])), low
+        else:
+            size = spots[j] - spots[low:j]
+            score = best[low:j] + gains[j] - 0.25 * np.abs(np.log((size + 1) / 70)) - 2.0 * (size < 2)
+            line = headings.get(int(spots[j]))
+            if line is not None:
+                score += HEADING * np.array([first[nodes[i]] == line for i in range(low, j)])
+            i = int(np.argmax(score))
+            best[j], back[j] = score[i], low + i
+        if nodes[j] in sure:
+            low = j
+    out, j = [], len(nodes) - 1
     while j:
-        out.append(places[j])
+        out.append(int(spots[j]))
         j = back[j]
     return out[::-1]
 
 
+def _first_letter(text: str, at: int, end: int) -> int:
+    while at < end and text[at].isspace():
+        at += 1
+    return at
+
+
 def _is_wrapped(text: str, width: int) -> bool:
     """Whether lines of running text are broken at a width: some line ends without a mark and the next goes on in lower case or, in scripts without case, is as long."""
     lines = [x.strip() for x in _NEWLINE.split(text)]
@@ -321,7 +377,7 @@ def split_text(text: str | None) -> list[tuple[int, int]]:
             continue
         piece = _Piece(text, start, end, width, wrapped)
         begin = start
-        for stop in _best_cover(text, start, end, piece.cuts):
+        for stop in _best_cover(text, start, end, piece.cuts, piece.headings):
             a, b = begin, stop
             while a < b and text[a].isspace():
                 a += 1
@@ -336,8 +392,7 @@ def split_text(text: str | None) -> list[tuple[int, int]]:
 def sentences(documents: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_char, end_char): one row per sentence of every document.
 
-    Null, empty and blank texts have none. Very long texts are split whole; a sentence reaches over at most MAX_SPAN
-    candidates. Repeated rows give repeated sentences; other columns are dropped. Needs no shuffle, unless the input has fewer partitions than there are cores.
+    Null, empty and blank texts have none. Very long texts are split whole, and a sentence may be as long as its text. Repeated rows give repeated sentences; other columns are dropped. Needs no shuffle, unless the input has fewer partitions than there are cores.
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

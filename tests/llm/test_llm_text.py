@@ -190,6 +190,60 @@ def test_lines():
     assert sentences.split_text(None) == []
 
 
+@pytest.mark.parametrize("marks", ["“”", '""', "„“", "«»", "()"])
+@pytest.mark.parametrize("n", [2, 3, 10, 100])
+def test_a_quotation_of_many_sentences_is_one(marks, n):
+    quoted = marks[0] + " ".join(f"The mill number {k} stood still for a week." for k in range(n)) + marks[1]
+    for text in ([f"She said: {quoted}", "The wheel turned again."], ["It was late.", f"{quoted} was all she said.", "The wheel turned again."]):
+        body = " ".join(text)
+        assert [body[a:b] for a, b in sentences.split_text(body)] == text
+
+
+def test_marks_without_a_partner_hold_nothing_together():
+    for text in (["A beam of 5\" was cut.", "It fit.", "So did the next."], ["“The first page is lost.", "The second is not.", "Nor is the third."], ["See item b) of the list.", "It is short.", "(Or so it seems."]):
+        body = " ".join(text)
+        assert [body[a:b] for a, b in sentences.split_text(body)] == text
+
+
+def test_a_sentence_may_be_as_long_as_its_text():
+    wrapped = "The list goes on and" + "\non with one more clause and" * 500 + " ends."
+    assert sentences.split_text(wrapped) == [(0, len(wrapped))]
+    many = "etc. and so on " * 20_000
+    assert len(sentences.split_text(many)) == 1
+
+
+def brute_cover(text, start, end, cuts, headings):
+    places = [start, *sorted(cuts), end]
+    quoted = sentences.quotations(text, start, end)
+    inside = [any(a < p <= b for a, b in quoted) for p in places]
+    best = [(0.0, [])] + [None] * (len(places) - 1)
+    for j in range(1, len(places)):
+        options = []
+        for i in range(j):
+            score = best[i][0] + sentences._length_score(places[j] - places[i]) + cuts.get(places[j], 0.0)
+            score -= sentences.INSIDE * (inside[i] + inside[j])
+            if places[j] in headings and sentences._first_letter(text, places[i], end) == headings[places[j]]:
+                score += sentences.HEADING
+            options.append((score, best[i][1] + [places[j]]))
+        best[j] = max(options, key=lambda x: x[0])
+    return best[-1]
+
+
+def test_the_best_cover_against_brute_force():
+    rng = random.Random(21)
+    for _ in range(300):
+        n = rng.randrange(8, 400)
+        text = "".join(rng.choice(["a", "b", " ", '"', "(", ")", "\n"]) for _ in range(n))
+        places = sorted(rng.sample(range(1, n), rng.randrange(1, 7)))
+        cuts = {p: rng.choice([sentences.NEVER, -4.0, -1.0, -0.1, 0.0, 0.2, 0.8, 1.5, 3.0, 6.0, 12.0]) for p in places}
+        headings = {p: sentences._first_letter(text, q, n) for q, p in zip([0, *places], places) if rng.random() < 0.2}
+        got = sentences._best_cover(text, 0, n, cuts, headings)
+        score, want = brute_cover(text, 0, n, cuts, headings)
+        if got != want:  # only where both are worth the same
+            again = brute_cover(text, 0, n, {p: cuts[p] for p in got[:-1]}, {p: h for p, h in headings.items() if p in got})
+            assert abs(again[0] - score) < 1e-9
+
+
 def test_spans_are_ordered_and_cover_all_but_blanks():
     rng = random.Random(9)
     for _ in range(300):
