@@ -1,18 +1,27 @@
 """Evaluation texts that stand in corpus documents: rare n-gram seeds, then Smith-Waterman alignment.
 
-Texts are compared as streams of letters and digits. Every n-gram of an item's stream is a seed; documents are read once
-against the seeds, hash against sorted hashes, and those with hits are kept. A pair with enough of the item's seeds is aligned,
-however frequent they are in the corpus: a copy that stands in many documents makes its own seeds frequent. A pair with fewer is
-aligned too if it has enough of the rare ones, those not far more frequent than the item's seeds are on the whole. Pairs are
-aligned around the hits, locally, with affine gaps that cost to open and nothing to extend, so that copies in a few pieces, with
-insertions and changed words, are one alignment. Many pairs are aligned at once, diagonal by diagonal, and equal ones once in a task.
-
-Items are held in memory block by block (BLOCK_ITEMS); however many there are, each block reads the documents against itself.
+Texts are compared as streams of letters and digits. Every n-gram of an item's stream is a seed, with its place. How many
+seeds a case must share follows from the alignment's scores. A changed word of average length costs BREAK letters, so a copy
+that is worth anything has more than BREAK letters to a break (a jump, an insertion or a changed word). Of M repeated letters in
+runs between fewer than M / BREAK breaks, each run of r letters holds r - n + 1 seeds in order, so that M repeated letters show
+
+    M - (M / BREAK + 1) (n - 1) = M (1 - (n - 1) / BREAK) - (n - 1)
+
+seeds or more, in the item's order. With M half of the item this is `seeds_needed`. If an item needs T of S seeds, its T - 1
+commonest ones can't make a case alone: a document is joined to an item through one of the other, rare seeds, whatever it
+shares besides, and kept if the longest chain of shared seeds in order reaches T. No seed and no document is dropped for being
+frequent. The document is then aligned from its first shared seed to its last, and beyond on both sides as far as the item's
+own letters go, locally, with affine gaps that cost to open and nothing to extend, so that copies in a few pieces, with
+insertions and changed words, are one alignment. Finding and aligning are one pass over the documents, without a shuffle; many
+pairs are aligned at once, and equal ones once in a task.
+
+Items are held in memory block by block (BLOCK_ITEMS, BLOCK_LETTERS).
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,24 +30,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.text import plain
-from citeloom.session import cut_lineage, shuffle_width, spread
+from citeloom.session import spread
 
-#: Letters of a seed in scripts of letters, and in those of syllables and ideographs.
-LONG, SHORT = 12, 5
-BLOCK_ITEMS = 2_000
-#: A seed is rare if its document count is at most COMMON times the median of its item's seeds, plus COMMON_SLACK.
-COMMON, COMMON_SLACK = 4, 10
-#: Least share and number of an item's seeds, of all or of the rare ones, that a candidate holds. A copy of half an item holds far more.
-LEAST_SHARE, LEAST_SEEDS = 0.1, 2
-#: Letters kept on both sides of a hit.
-AROUND = 48
 MATCH, MISMATCH, OPEN = 1, -2, -8
-#: Cells of a diagonal that are worked on at once.
-CELLS = 16_000
+#: Letters of a seed in scripts of letters, and in those of syllables and ideographs.
+LONG, SHORT = 7, 4
+#: What a changed word costs: MISMATCH for each of five letters, or of two to three syllables. Copies with denser breaks are none.
+BREAK = {LONG: 10, SHORT: 5}
+#: Items of a block, and letters of their texts on average: 16 bytes of seeds a letter are broadcast.
+BLOCK_ITEMS, BLOCK_LETTERS = 2_000, 4_000_000
+#: Letters of documents that are hashed at once.
+WINDOW = 1_000_000
+#: Cells of the alignment that are worked on at once.
+CELLS = 12_000
 #: Alignments that a task remembers.
 REMEMBERED = 100_000
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: High bits of a hash by which a table tells quickly that it is no seed.
+_BITS = 20
 
 
 def _points(stream: str) -> np.ndarray:
@@ -54,7 +64,8 @@ def _hashes(points: np.ndarray, n: int) -> np.ndarray:
     count = len(points) - n + 1
     out = np.full(count, n, dtype=np.uint64)
     for k in range(n):
-        out = out * np.uint64(6364136223846793005) + mixed[k : k + count]
+        out *= np.uint64(6364136223846793005)
+        out += mixed[k : k + count]
     return out ^ (out >> np.uint64(31))
 
 
@@ -63,66 +74,74 @@ def seed_length(stream: str) -> int:
     return LONG if len(points) == 0 or (points < 0x2E80).mean() > 0.6 else SHORT
 
 
+def seeds_needed(letters: int, n: int, least: float) -> int:
+    """Seeds in order that a copy of `least` of an item's letters shows at least; see the module's text."""
+    return max(1, int(np.ceil(least * letters * (1 - (n - 1) / BREAK[n]) - (n - 1) - 1e-9)))
+
+
 class _Seeds:
-    """The sorted seed hashes of a block of items, and which items each belongs to."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.streams = {i: s for i, s in items}
-        hashes, owners, self.of = [], [], {}
-        for i, stream in items:
-            h = np.unique(_hashes(_points(stream), seed_length(stream)))
-            if len(h):
-                self.of[i] = h
-                hashes.append(h)
-                owners.append(np.full(len(h), i, dtype=np.int64))
-        self.hashes = np.concatenate(hashes) if hashes else np.array([], dtype=np.uint64)
-        self.owners = np.concatenate(owners) if owners else np.array([], dtype=np.int64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.owners = self.hashes[order], self.owners[order]
-        self.distinct = np.unique(self.hashes)
-
-    def entries(self, hashes: np.ndarray) -> np.ndarray:
-        """Places in `owners` of all items of these distinct seeds."""
-        left, right = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-        n = right - left
-        return np.repeat(left - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else np.array([], dtype=np.int64)
-
-    def rare(self, frequency: dict[int, int]) -> tuple[np.ndarray, dict[int, int]]:
-        """Which entries are rare for their item, by the seeds' document counts; and how many each item has."""
-        counts = np.array([frequency.get(int(x), 0) for x in self.distinct.view(np.int64)])
-        counts = counts[np.searchsorted(self.distinct, self.hashes)]
-        is_rare, n_rare = np.ones(len(self.hashes), dtype=bool), {}
-        for item in self.of:
-            mine = np.flatnonzero(self.owners == item)
-            n = counts[mine]
-            if (n > 0).any():
-                is_rare[mine] = n <= COMMON * np.median(n[n > 0]) + COMMON_SLACK
-            n_rare[item] = int(is_rare[mine].sum())
-        return is_rare, n_rare
+    """The seeds of a block of items in order of their hashes, with the item and the place each has."""
+
+    def __init__(self, items: list[tuple[int, str]], least: float):
+        self.ids = [i for i, _ in items]
+        self.streams = [_points(s).astype(np.int64) for _, s in items]
+        lengths = [seed_length(s) for _, s in items]
+        self.lengths = sorted(set(lengths))
+        self.needed = np.array([seeds_needed(len(s), n, least) for s, n in zip(self.streams, lengths)], dtype=np.int64)
+        each = [_hashes(_points(s), n) for (_, s), n in zip(items, lengths)]
+        empty = [np.array([], dtype=np.uint64)]
+        hashes = np.concatenate(empty + each)
+        owner = np.repeat(np.arange(len(items), dtype=np.int32), [len(h) for h in each])
+        place = np.concatenate([np.array([], dtype=np.int32)] + [np.arange(len(h), dtype=np.int32) for h in each])
+        # how many items hold a seed; the needed - 1 commonest seeds of an item are not rare
+        held = np.unique(np.concatenate(empty + [np.unique(h) for h in each]), return_counts=True)
+        common = held[1][np.searchsorted(held[0], hashes)] if len(hashes) else np.array([], dtype=np.int64)
+        order = np.lexsort((hashes, common, owner))
+        start = np.r_[0, np.cumsum([len(h) for h in each])]
+        rare = np.zeros(len(hashes), dtype=bool)
+        for k, h in enumerate(each):
+            rare[order[start[k] : start[k] + max(0, len(h) - self.needed[k] + 1)]] = True
+        order = np.argsort(hashes, kind="stable")
+        self.owner, self.place, self.rare, hashes = owner[order], place[order], rare[order], hashes[order]
+        self.distinct, self.first, self.count = np.unique(hashes, return_index=True, return_counts=True)
+        self.maybe = np.zeros(1 << _BITS, dtype=bool)
+        self.maybe[(self.distinct >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
     def hits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes) of the n-grams that are seeds."""
-        places, found = [], []
-        for n in (LONG, SHORT):
-            h = _hashes(points, n)
-            if len(h) and len(self.distinct):
-                at = np.minimum(np.searchsorted(self.distinct, h), len(self.distinct) - 1)
-                ok = np.flatnonzero(self.distinct[at] == h)
-                places.append(ok)
-                found.append(h[ok])
-        if not places:
-            return np.array([], dtype=np.int64), np.array([], dtype=np.uint64)
-        return np.concatenate(places), np.concatenate(found)
+        """(places in points, entries of this table) of all shared n-grams."""
+        places, entries = [np.array([], dtype=np.int64)], [np.array([], dtype=np.int64)]
+        for n in self.lengths:
+            for begin in range(0, len(points) - n + 1, WINDOW):
+                h = _hashes(points[begin : begin + WINDOW + n - 1], n)
+                ok = np.flatnonzero(self.maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.distinct, h[ok]), len(self.distinct) - 1)
+                same = self.distinct[at] == h[ok]
+                ok, at = ok[same], at[same]
+                n_each = self.count[at]
+                places.append(np.repeat(ok + begin, n_each))
+                entries.append(np.repeat(self.first[at] - np.r_[0, np.cumsum(n_each)[:-1]], n_each) + np.arange(n_each.sum()) if len(at) else np.array([], dtype=np.int64))
+        return np.concatenate(places), np.concatenate(entries)
+
+
+def longest_chain(xs: np.ndarray, ys: np.ndarray) -> int:
+    """The most of the points (x, y) that go up in both."""
+    tails: list[int] = []
+    for y in ys[np.lexsort((-ys, xs))].tolist():
+        k = bisect_left(tails, y)
+        if k == len(tails):
+            tails.append(y)
+        else:
+            tails[k] = y
+    return len(tails)
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
     """(score, matched) of the best local alignment of each pair (item, document) of code points.
 
-    Gotoh's recurrences over anti-diagonals, many pairs side by side; matched is the number of equal letters on the
-    alignment that gives the score. A cell holds score * 65536 + matched, so that a larger score wins, then more matches.
+    matched is the number of equal letters on the alignment that gives the score; of equal scores the one with more counts.
     """
     out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
-    order = sorted((k for k in range(len(pairs)) if len(pairs[k][0]) and len(pairs[k][1])), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    order = sorted((k for k in range(len(pairs)) if len(pairs[k][0]) and len(pairs[k][1])), key=lambda k: (len(pairs[k][0]) // 64, len(pairs[k][1]), len(pairs[k][0])))
     at = 0
     while at < len(order):
         take, wide = [], 0
@@ -133,111 +152,107 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
             wide = longest
             take.append(order[at])
             at += 1
-        best = _align_block([pairs[k] for k in take], wide)
-        for k, value in zip(take, best.tolist()):
-            out[k] = (value >> 16, value & 0xFFFF)
+        for k, value in zip(take, _align_block([pairs[k] for k in take], wide)):
+            out[k] = value
     return out
 
 
-def _align_block(pairs: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
+def _align_block(pairs: list[tuple[np.ndarray, np.ndarray]], m: int) -> list[tuple[int, int]]:
+    """Gotoh's recurrences, a letter of every document at a time, over all of its item's letters.
+
+    A cell holds score * 2^bits + matched. As gaps cost nothing to extend, the best gap that ends at a cell is OPEN less
+    than the largest cell before it: a running maximum along the item, and one along the document.
+    """
     count, n = len(pairs), max(len(b) for _, b in pairs)
-    # 32 bits hold the scores of items of up to 16,000 letters
-    kind = np.int32 if m < 16_000 else np.int64
-    hit, miss, gap, never = (kind(x) for x in ((MATCH << 16) + 1, MISMATCH << 16, OPEN << 16, -(1 << 30)))
-    # column i is item letter i, the last one first, so that a diagonal reads the document from left to right
-    a = np.full((count, m), -2, dtype=np.int32)
-    b = np.full((count, n + 2 * m), -1, dtype=np.int32)
+    kind, bits = (np.int32, 16) if m < 16_000 else (np.int64, 32)
+    hit, miss, gap = kind((MATCH << bits) + 1), kind(MISMATCH << bits), kind(OPEN << bits)
+    # of every item and letter, what the letter scores at each of the item's places; row 0 is a letter that equals none
+    rows, at = [np.full((1, m), miss, dtype=kind)], 1
+    known: dict[int, tuple[np.ndarray, int]] = {}
+    turns = np.zeros((n, count), dtype=np.int64)
     for r, (x, y) in enumerate(pairs):
-        a[r, m - len(x) :] = x[::-1]
-        b[r, m : m + len(y)] = y
-    h1, h2 = np.zeros((count, m + 1), dtype=kind), np.zeros((count, m + 1), dtype=kind)  # the last column is the border
-    e, f = np.full((count, m), never, dtype=kind), np.full((count, m + 1), never, dtype=kind)
-    step, same, best = np.empty((count, m), dtype=kind), np.empty((count, m), dtype=bool), np.zeros(count, dtype=kind)
-    for d in range(2, m + n + 1):
-        # column c is item letter i = m - c; the document's letter is number d - i, at m + d - i - 1 = d - 1 + c of b
-        np.equal(a, b[:, d - 1 : d - 1 + m], out=same)
-        np.multiply(same, hit - miss, out=step)
-        step += miss
-        step += h2[:, 1:]  # from (i - 1, j - 1), one diagonal further back
-        np.maximum(step, 0, out=step)
-        h1 += gap
-        np.maximum(e, h1[:, :m], out=e)  # from (i, j - 1)
-        np.maximum(f[:, 1:], h1[:, 1:], out=f[:, :m])  # from (i - 1, j)
-        h1 -= gap
-        np.maximum(step, e, out=step)
-        np.maximum(step, f[:, :m], out=step)
-        h2[:, :m] = step
-        h1, h2 = h2, h1
-        np.maximum(best, step.max(axis=1), out=best)
-    return best
-
-
-def _around(points: np.ndarray, places: np.ndarray, reach: int) -> np.ndarray:
-    """The parts of a stream near the places, joined by a letter that equals none."""
-    places = np.sort(places)
-    low, high = np.maximum(places - AROUND, 0), np.minimum(places + reach + AROUND, len(points))
-    parts, begin, end = [], low[0], high[0]
-    for a, b in zip(low[1:], high[1:]):
-        if a > end:
-            parts += [points[begin:end].astype(np.int64), np.array([-3])]
-            begin = a
-        end = max(end, b)
-    parts.append(points[begin:end].astype(np.int64))
-    return np.concatenate(parts)
+        if id(x) not in known:
+            letters = np.unique(x)
+            profile = np.full((len(letters), m), miss, dtype=kind)
+            profile[:, : len(x)][letters[:, None] == x[None, :]] = hit
+            rows.append(profile)
+            known[id(x)] = letters, at
+            at += len(letters)
+        letters, base = known[id(x)]
+        k = np.minimum(np.searchsorted(letters, y), len(letters) - 1)
+        turns[: len(y), r] = np.where(letters[k] == y, base + k, 0)
+    profiles = np.concatenate(rows)
+    h, high = np.zeros((count, m + 1), dtype=kind), np.zeros((count, m), dtype=kind)  # column 0 is the border
+    cell, along = np.empty((count, m), dtype=kind), np.empty((count, m), dtype=kind)
+    for turn in turns:
+        np.take(profiles, turn, axis=0, out=cell, mode="clip")
+        cell += h[:, :-1]
+        np.add(high, gap, out=along)  # from cells of earlier letters of the document
+        np.maximum(cell, along, out=cell)
+        np.maximum(cell, 0, out=cell)
+        np.maximum.accumulate(cell, axis=1, out=along)
+        along += gap  # from earlier letters of the item; its own place, less a gap, changes nothing
+        np.maximum(cell, along, out=h[:, 1:])
+        np.maximum(high, h[:, 1:], out=high)
+    best = high.max(axis=1).tolist()
+    return [(v >> bits, v & ((1 << bits) - 1)) for v in best]
+
+
+def _chunks(streams: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of streams of WINDOW letters together, or of one longer stream."""
+    begin, size = 0, 0
+    for k, s in enumerate(streams):
+        if k > begin and size + len(s) > WINDOW:
+            yield begin, k
+            begin, size = k, 0
+        size += len(s) + 1
+    if begin < len(streams):
+        yield begin, len(streams)
+
+
+def _candidates(seeds: _Seeds, streams: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(number of the stream, number of the item, the part of the stream to align) of all pairs that share enough seeds."""
+    for begin, end in _chunks(streams):
+        points = _points("\n".join(streams[begin:end]))  # no stream has a line break
+        starts = np.cumsum([0, *(len(s) + 1 for s in streams[begin : end - 1])])
+        places, entries = seeds.hits(points)
+        doc, item = np.searchsorted(starts, places, "right") - 1, seeds.owner[entries]
+        key = doc * len(seeds.ids) + item
+        pairs, which, counts = np.unique(key, return_inverse=True, return_counts=True)
+        joined = np.bincount(which, weights=seeds.rare[entries], minlength=len(pairs)) > 0
+        good = joined & (counts >= seeds.needed[pairs % len(seeds.ids)])
+        chosen = np.flatnonzero(good[which])
+        chosen = chosen[np.argsort(which[chosen], kind="stable")]
+        for at in np.split(chosen, np.flatnonzero(np.diff(which[chosen])) + 1) if len(chosen) else []:
+            d, i = divmod(int(key[at[0]]), len(seeds.ids))
+            x, y = places[at] - starts[d], seeds.place[entries[at]].astype(np.int64)
+            if longest_chain(x, y) >= seeds.needed[i]:
+                low, high = max(0, int((x - y).min())), min(len(streams[begin + d]), int((x - y).max()) + len(seeds.streams[i]))
+                yield begin + d, i, points[starts[d] + low : starts[d] + high].astype(np.int64)
 
 
 def _leaks_of_block(documents: DataFrame, items: list[tuple[int, str]], least: float) -> DataFrame:
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(_Seeds(items))
+    shared = documents.sparkSession.sparkContext.broadcast(_Seeds(items, least))
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds = shared.value
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                if not text:
-                    continue
-                stream = plain(text)
-                points = _points(stream)
-                places, found = seeds.hits(points)
-                if len(places) >= LEAST_SEEDS:
-                    rows.append((doc, stream, places.tolist(), found.view(np.int64).tolist()))
-            yield pd.DataFrame(rows, columns=["doc_id", "stream", "places", "seeds"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    hit = cut_lineage(spread(documents.select("doc_id", "text")).mapInPandas(find, f"doc_id {kind}, stream string, places array<int>, seeds array<long>"))
-    counts = hit.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-    # at most one row per seed of the block
-    frequency = {row["seed"]: row["n"] for row in counts.toLocalIterator()}
-    chosen = spark.sparkContext.broadcast(shared.value.rare(frequency))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds, (is_rare, n_rare) = shared.value, chosen.value
-        streams, known = {}, {}
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seeds, known = shared.value, {}
         for batch in batches:
+            batch = batch[batch["text"].notna()]
             keys, pairs = [], {}
             if len(known) > REMEMBERED:
                 known = {}
-            for doc, stream, places, found in zip(batch["doc_id"], batch["stream"], batch["places"], batch["seeds"]):
-                points, places, found = _points(stream), np.asarray(places, dtype=np.int64), np.asarray(found, dtype=np.int64).view(np.uint64)
-                entries = seeds.entries(np.unique(found))
-                items, which, counts = np.unique(seeds.owners[entries], return_inverse=True, return_counts=True)
-                rare = np.bincount(which, weights=is_rare[entries], minlength=len(items))
-                for item, n, r in zip(items.tolist(), counts.tolist(), rare.tolist()):
-                    if n < max(LEAST_SEEDS, LEAST_SHARE * len(seeds.of[item])) and r < max(LEAST_SEEDS, LEAST_SHARE * n_rare[item]):
-                        continue
-                    if item not in streams:
-                        streams[item] = _points(seeds.streams[item]).astype(np.int64)
-                    part = _around(points, places[np.isin(found, seeds.of[item])], LONG)
-                    key = item, hashlib.blake2b(part.tobytes(), digest_size=16).digest()
-                    keys.append((doc, item, len(streams[item]), key))
-                    if key not in known:
-                        pairs[key] = streams[item], part
+            docs = batch["doc_id"].tolist()
+            for d, i, part in _candidates(seeds, [plain(t) for t in batch["text"]]) if len(seeds.distinct) else ():
+                key = i, hashlib.blake2b(part.tobytes(), digest_size=16).digest()
+                keys.append((docs[d], i, key))
+                if key not in known:
+                    pairs[key] = seeds.streams[i], part
             known |= zip(pairs, align([*pairs.values()]))
-            rows = [(doc, item, *known[key], known[key][1] / size) for doc, item, size, key in keys if known[key][1] >= least * size]
+            rows = [(doc, seeds.ids[i], *known[key], known[key][1] / len(seeds.streams[i])) for doc, i, key in keys if known[key][1] >= least * len(seeds.streams[i])]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "matched", "share"])
 
-    return hit.repartition(shuffle_width(spark), F.hash("doc_id")).mapInPandas(score, f"doc_id {kind}, item_id long, score long, matched long, share double")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return spread(documents.select("doc_id", "text")).mapInPandas(work, f"doc_id {kind}, item_id long, score long, matched long, share double")
 
 
 def leaks(documents: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
@@ -245,15 +260,14 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.5) -> DataFra
 
     documents: (doc_id, text); items: (item_id LONG, text). Every row of documents counts, copies too; null and empty
     texts are in no case, nor are items of fewer letters than a seed. Of rows that repeat an item_id the longest text counts.
-    Texts are compared whole, however long. Empty tables give no cases. Columns besides those named are dropped.
+    Texts are read whole, however long. Empty tables give no cases. Columns besides those named are dropped.
     """
-    items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max(F.struct(F.length("text"), "text"))["text"].alias("text"))
-    n = items.count()
-    blocks = max(1, -(-n // BLOCK_ITEMS))
+    known = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max(F.struct(F.length("text"), "text"))["text"].alias("text"))
+    n, letters = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-letters // BLOCK_LETTERS))
     out = None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        block = sorted((r["item_id"], plain(r["text"])) for r in part.collect())
-        found = _leaks_of_block(documents, block, least)
+        part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else known
+        found = _leaks_of_block(documents, sorted((r["item_id"], plain(r["text"])) for r in part.collect()), least)
         out = found if out is None else out.unionAll(found)
     return out

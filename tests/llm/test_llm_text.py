@@ -143,6 +143,45 @@ def test_a_partial_copy_in_many_documents_is_found(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(61))
 
 
+WORDS = ITEM.split()
+
+
+@pytest.mark.parametrize("every, found", [(4, True), (5, True), (7, True), (2, False)])
+def test_where_the_line_of_changed_words_lies(spark, every, found):
+    rng = random.Random(every)
+    edited = " ".join("".join(rng.choice("qzxjvw") for _ in w) if k % every == 1 else w for k, w in enumerate(WORDS * 2))
+    got = contamination.leaks(spark.createDataFrame([(1, FILL + edited + FILL)], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(WORDS * 2))], "item_id long, text string"))
+    assert bool(got.collect()) == found
+
+
+def test_edited_copies_are_found_wherever_they_stand_and_in_pieces(spark):
+    rng = random.Random(31)
+    thirds = [" ".join(WORDS[k::1][:9]) for k in (0, 9, 18)]
+    far = ["".join(rng.choice("abcdefghij ") for _ in range(4000)) for _ in range(4)]
+    docs = [(1, far[0] + thirds[0] + far[1] + thirds[1] + far[2] + thirds[2] + far[3]), (2, far[0] + thirds[2] + far[1] + thirds[1] + far[2] + thirds[0]), (3, " ".join(w + " (um)" * (k % 4 == 3) for k, w in enumerate(WORDS)))]
+    got = contamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert {r["doc_id"]: round(r["share"], 2) for r in got.collect()}.keys() == {1, 3}
+
+
+def test_long_items_keep_score_and_matches_apart():
+    rng = np.random.default_rng(5)
+    a = rng.integers(97, 120, 70_000)
+    assert contamination.align([(a, a[:200])]) == [(200, 200)]
+    assert contamination.align([(a[:20_000], a[5000:5100])]) == [(100, 100)]
+
+
+def test_the_needed_seeds_are_a_bound(spark):
+    rng = random.Random(32)
+    for _ in range(200):
+        m, n = rng.randrange(60, 400), contamination.LONG
+        item = [rng.random() for _ in range(m)]
+        breaks = rng.randrange(0, max(1, m // contamination.BREAK[n]))
+        cut = set(rng.sample(range(m), breaks))
+        copy = [x if k not in cut else -1.0 for k, x in enumerate(item)]
+        grams = {tuple(item[k : k + n]) for k in range(m - n + 1)} & {tuple(copy[k : k + n]) for k in range(m - n + 1)}
+        assert len(grams) >= contamination.seeds_needed(m - breaks, n, 1.0) or breaks * contamination.BREAK[n] > m - breaks
+
+
 def test_no_documents_or_items(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert contamination.leaks(docs, items).count() == 0
