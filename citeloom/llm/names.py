@@ -1,9 +1,10 @@
 """Variant spellings of names, by suffix blocking and longest-common-subsequence ratio.
 
 Spellings are folded and parsed into a family name and given names (or, for organisations, a bag of words). Suffixes
-of every word are indexed. A suffix shared by few spellings makes a block; a common one is refined with another word's initial,
-then with its first three letters, and only what is still common then is discarded, except whole words, which never are: there
-an initial, or another word of two letters, meets all others that begin with it.
+of every word are indexed with the initial of another word, which names that agree share. Where few names share both, they
+make a block; where many do, the other word's first three letters refine it, and only what is still common then is
+discarded. Whole words never are: there the other word, with any one letter left out, refines the block once more, which
+no slip of a letter escapes, and an initial, or another word of two letters, meets all others that begin with it.
 Pairs of a block are compared word by word by longest-common-subsequence ratio.
 
 Links are of three kinds: all words agree; a middle name is missing; a given name is only an initial. The weaker kinds
@@ -24,6 +25,7 @@ from citeloom.llm.text import trimmed
 from citeloom.operators.components import components
 from citeloom.session import cut_lineage, shuffle_width
 
+#: Letters of a proper suffix at least; whole words are indexed whatever their length.
 MIN_SUFFIX = 3
 #: Spellings of a block; a larger block is refined.
 BLOCK = 30
@@ -56,7 +58,7 @@ NICKNAMES = {
     "elizabeth": "liz beth lizzie betty eliza", "francesca": "fran franca cesca", "frederick": "fred freddie fritz",
     "gabriela": "gabi gaby", "giuseppe": "beppe pino", "gregory": "greg", "harold": "harry hal", "isabella": "bella izzy isa",
     "johannes": "hannes hans jo", "jonathan": "jon jonny", "katherine": "kate kathy katie kat", "leonard": "len leo lenny",
-    "ludmila": "mila lyuda", "margaret": "meg maggie peggy greta", "nicholas": "nick nico", "oliver": "ollie noll",
+    "ludmila": "mila lyuda", "margaret": "meg maggie peggy", "nicholas": "nick nico", "oliver": "ollie noll",
     "patricia": "pat trish patty", "rebecca": "becky becca", "robert": "bob rob bobby robbie", "samantha": "sam sammy",
     "susanna": "sue susie sanna", "theodore": "theo ted teddy", "victoria": "vicky tori vic", "vladimir": "vova volodya",
     "william": "will bill billy liam", "yekaterina": "katya katia", "zachary": "zach zack zac", "thomas": "tom tommy",
@@ -65,20 +67,9 @@ NICKNAMES = {
 }
 FULL: dict[str, frozenset] = {}
 for _full, _short in NICKNAMES.items():
-    if _full == "margaret":
-        _short = _short.replace(" greta", "")
     for _s in _short.split():
         FULL[_s] = FULL.get(_s, frozenset()) | {_full}
 
-# Given names that differ by a letter or two from others and are no misspellings of them.
-CLOSE_NAMES = frozenset("""
-anika anna anne carla carlo daniel daniela elif elin gabriel gabriela hana hanna hannah hanno jan jana jane julia julie
-juliana lena leila luca lucas lucia luisa maria marie mario mark marko marco marta martin martina mateo mattea nadia nadja
-noor nora oliver olivia paul paula paulo pavel robert roberta sofia sonia sonja stefan stefano stefania susan susanna tamar tamara
-tomas viktor victor victoria vera wera wanda wei yara zara zora
-""".split())
-
-
 def fold(text: str) -> str:
     text = text.replace("ß", "ss").replace("ø", "o").replace("Ø", "O").replace("ł", "l").replace("Ł", "L").replace("đ", "d").replace("æ", "ae")
     return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
@@ -88,6 +79,7 @@ def tokens_of(name: str) -> tuple[list[tuple[str, bool]], int]:
     """([(folded word, is an initial)], number of words before a comma or -1), titles and particles left out."""
     name = unicodedata.normalize("NFKC", name).replace("&", " and ")
     caps = name.upper() == name
+    two = len(name.split()) == 2 and "," not in name  # Al Ng: what else would be a particle is a given name
     out: list[tuple[str, bool]] = []
     comma = -1
     for part_no, part in enumerate(name.split(",")):
@@ -104,7 +96,7 @@ def tokens_of(name: str) -> tuple[list[tuple[str, bool]], int]:
                 here.append((bare, True))
             elif not caps and 2 <= len(bare) <= 3 and word.isupper() and word.isalpha():
                 here += [(c, True) for c in bare]
-            elif bare not in PARTICLES:
+            elif bare not in PARTICLES or two:
                 here.append((bare, False))
         if here and part_no and out and comma < 0:
             comma = len(out)
@@ -148,6 +140,12 @@ def same_word(a: str, b: str) -> bool:
     return a == b or min(len(a), len(b)) >= 2 and max(len(a), len(b)) >= 3 and one_slip(a, b) and lcs_ratio(a, b) >= RATIO
 
 
+def other_ending(a: str, b: str) -> bool:
+    """Whether two words differ in a final a, e or o only, had or not had: Daniel and Daniela, Carla and Carlo are two names."""
+    stem = lambda w: w[:-1] if w[-1] in "aeo" else w
+    return a != b and stem(a) == stem(b)
+
+
 def given_match(a: str, na: int, b: str, nb: int) -> str | None:
     """"full" (one name or its short form), "slip" (a misspelling), "initial", or None. na, nb: spellings with that name."""
     if len(a) == 1 or len(b) == 1:
@@ -158,8 +156,8 @@ def given_match(a: str, na: int, b: str, nb: int) -> str | None:
     fa, fb = FULL.get(a, frozenset()) | {a}, FULL.get(b, frozenset()) | {b}
     if fa & fb:
         return "full"
-    known_a, known_b = (n >= ESTABLISHED and n * FAR > other or x in CLOSE_NAMES or x in FULL or x in NICKNAMES for x, n, other in ((a, na, nb), (b, nb, na)))
-    if not (known_a and known_b) and same_word(a, b):
+    known_a, known_b = (n >= ESTABLISHED and n * FAR > other or x in FULL or x in NICKNAMES for x, n, other in ((a, na, nb), (b, nb, na)))
+    if not (known_a and known_b) and same_word(a, b) and not other_ending(a, b):
         return "slip"
     return None
 
@@ -253,36 +251,46 @@ def parsed_names(names: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes that share a block. nodes: (node, words, others), others the words and initials besides."""
-    words = nodes.select("node", "others", F.explode("words").alias("word")).where(F.length("word") >= MIN_SUFFIX)
-    shortest = F.greatest(F.lit(MIN_SUFFIX), F.ceil(F.length("word") / 2).cast("int"))
-    index = words.select("node", "others", "word", F.explode(F.sequence(shortest, F.length("word"))).alias("k")).select("node", "others", "word", F.expr("right(word, k)").alias("suffix"), (F.col("k") == F.length("word")).alias("whole"))
+    """Distinct (a, b), a < b, of nodes that share a block. nodes: (node, words, others), others the words and initials besides.
+
+    No group is taken whole that may be larger than `block`, but those that agree in a whole word, another word's initial, its first three
+    letters and all but one of its letters.
+    """
+    words = nodes.select("node", "others", F.explode("words").alias("word"))
+    shortest = F.least(F.length("word"), F.greatest(F.lit(MIN_SUFFIX), F.ceil(F.length("word") / 2).cast("int")))
+    index = words.select("node", "word", F.explode("others").alias("o"), shortest.alias("k")).where("o <> word")
+    index = index.select("node", "word", "o", F.explode(F.sequence("k", F.length("word"))).alias("k"))
+    # a pair that agrees in the letter before the suffix too meets under the longer one
+    before = F.expr("substring(word, length(word) - k, if(k < length(word), 1, 0))")
+    index = index.select("node", F.col("k").eqNullSafe(F.length("word")).alias("whole"), before.alias("before"), F.expr("right(word, k)").alias("suffix"), F.substring("o", 1, 1).alias("one"), "o").withColumn("key", F.xxhash64("suffix", "one"))
     index = cut_lineage(index)
-    sizes = index.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
-    few = sizes.where(F.col("n").between(2, block)).select("suffix")
-    many = sizes.where(F.col("n") > block).select("suffix")
-    blocks = index.join(few, "suffix").groupBy("suffix").agg(F.collect_set("node").alias("nodes")).select("nodes")
-
-    # the other words of the name refine a common suffix: first by initial, then by three letters
-    other = index.join(many, "suffix").select("node", "word", "suffix", "whole", F.explode("others").alias("o")).where(F.col("o") != F.col("word"))
-    other = cut_lineage(other)
-    refined = other.withColumn("key", F.substring("o", 1, 1))
-    sizes = refined.groupBy("suffix", "key").agg(F.count_distinct("node").alias("n"))
-    blocks = blocks.unionAll(refined.join(sizes.where(F.col("n").between(2, block)), ["suffix", "key"]).groupBy("suffix", "key").agg(F.collect_set("node").alias("nodes")).select("nodes"))
-    still = sizes.where(F.col("n") > block).select("suffix", F.col("key").alias("one"))
-    refined = other.withColumn("one", F.substring("o", 1, 1)).join(still, ["suffix", "one"]).withColumn("key", F.substring("o", 1, 3))
-    refined = cut_lineage(refined.select("node", "suffix", "whole", "one", "key").distinct())
-    sizes = refined.groupBy("suffix", "key").agg(F.count_distinct("node").alias("n"))
-    blocks = blocks.unionAll(refined.join(sizes.where(F.col("n").between(2, block)), ["suffix", "key"]).groupBy("suffix", "key").agg(F.collect_set("node").alias("nodes")).select("nodes"))
-    pairs = blocks.distinct().select(F.explode("nodes").alias("a"), "nodes").select("a", F.explode("nodes").alias("b")).where("a < b")
-
-    # whole words are never discarded, however common
-    huge = refined.where("whole").join(sizes.where(F.col("n") > block), ["suffix", "key"]).select("suffix", "key", "node").distinct()
-    pairs = pairs.unionAll(huge.withColumnRenamed("node", "a").join(huge.withColumnRenamed("node", "b"), ["suffix", "key"]).where("a < b").select("a", "b"))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.count_distinct("node").alias("n")).where("n > 1")
+
+    def within(rows: DataFrame) -> DataFrame:
+        """Pairs of the blocks of rows (key, node, before), each of which is small."""
+        blocks = rows.groupBy("key").agg(F.collect_set(F.struct("node", "before")).alias("m"))
+        pairs = blocks.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
+        return pairs.where("x.node < y.node and (x.before <> y.before or x.before = '')").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+    sizes = cut_lineage(sized(index))
+    pairs = within(index.select("key", "node", "before").join(sizes.where(F.col("n") <= block).select("key"), "key"))
+
+    # what is common is refined by the other word's first three letters
+    common = cut_lineage(index.join(sizes.where(F.col("n") > block).select("key"), "key").withColumnRenamed("key", "wide").withColumn("key", F.xxhash64("wide", F.substring("o", 1, 3))))
+    finer = cut_lineage(sized(common))
+    pairs = pairs.unionAll(within(common.select("key", "node", "before").join(finer.where(F.col("n") <= block).select("key"), "key")))
+
+    # whole words that are still common: by the other word with one letter left out
+    still = common.where("whole").join(finer.where(F.col("n") > block).select("key"), "key").select("node", F.col("key").alias("wide"), "o").distinct()
+    left_out = F.array_distinct(F.concat(F.array("o"), F.transform(F.sequence(F.lit(1), F.length("o")), lambda i: F.concat(F.substring("o", F.lit(1), i - 1), F.substring("o", i + 1, F.length("o"))))))
+    still = still.select("node", F.explode(left_out).alias("form"), "wide").select("node", F.xxhash64("wide", "form").alias("key")).distinct()
+    pairs = pairs.unionAll(still.withColumnRenamed("node", "a").join(still.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b"))
     # an initial or a word of two letters meets all that begin with the same letter
-    alike = refined.where("whole").select("suffix", "one", "node", "key").distinct()
-    short = alike.where(F.length("key") < 3).select("suffix", "one", F.col("node").alias("a")).distinct()
-    met = short.join(alike.select("suffix", "one", F.col("node").alias("b")).distinct(), ["suffix", "one"]).where("a <> b")
+    alike = common.where("whole").select("wide", "node", "o").distinct()
+    short = alike.where(F.length("o") < 3).select("wide", F.col("node").alias("a")).distinct()
+    met = short.join(alike.select("wide", F.col("node").alias("b")).distinct(), "wide").where("a <> b")
     pairs = pairs.unionAll(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     return pairs.distinct()
 
@@ -322,12 +330,10 @@ def _same_organisation(a: list[str], b: list[str]) -> bool:
     return len(only_a) == len(only_b) == 1 and min(len(a), len(b)) > 1 and min(len(only_a[0]), len(only_b[0])) > 3 and same_word(only_a[0], only_b[0])
 
 
-def _settled(links: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Links between components instead of nodes."""
-    if comps is None:
-        return links
+def _settled(links: DataFrame, merged: DataFrame) -> DataFrame:
+    """Links between components (id, component) instead of nodes."""
     for end in ("a", "b"):
-        links = links.join(comps.withColumnRenamed("id", end).withColumnRenamed("component", f"c_{end}"), end, "left").withColumn(end, F.coalesce(f"c_{end}", end)).drop(f"c_{end}")
+        links = links.join(merged.select(F.col("id").alias(end), F.col("component").alias("_c")), end, "left").withColumn(end, F.coalesce("_c", end)).drop("_c")
     return links.where("a <> b")
 
 
@@ -340,40 +346,47 @@ def _only_choice(links: DataFrame) -> DataFrame:
     return one.select("a", "b")
 
 
+def _linked(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, node, id) of distinct spellings and (id, component) of the nodes that are linked; ids are numbers of nodes."""
+    distinct = names.select(trimmed(F.col("name")).alias("name")).where(F.col("name").isNotNull()).distinct()
+    parsed = cut_lineage(parsed_names(distinct))
+    # rows of a node agree in all but `words`, of which the least are taken, and of the counts of given names the greatest
+    nodes = parsed.groupBy("node").agg(F.min("kind").alias("kind"), F.min("family").alias("family"), F.min("given").alias("given"), F.max("counts").alias("counts"), F.min("words").alias("words"))
+    shorts = F.create_map(*[x for k, v in FULL.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in sorted(v)]))])
+    forms = F.array_union(F.col("words"), F.flatten(F.transform("given", lambda g: F.coalesce(F.try_element_at(shorts, g), F.array()))))
+    nodes = cut_lineage(nodes.withColumn("forms", forms).withColumn("others", F.array_union("forms", "given")).withColumn("id", F.monotonically_increasing_id()))
+    pairs = candidate_pairs(nodes.select(F.col("id").alias("node"), F.col("forms").alias("words"), "others"))
+    sides = nodes.select("id", "kind", "family", "given", "counts", F.transform("others", lambda o: F.substring(o, 1, 1)).alias("initials"))
+    for end in ("a", "b"):
+        pairs = pairs.join(sides.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in sides.columns[1:]]), end)
+    near = (F.col("kind_a") == F.col("kind_b")) & ((F.col("kind_a") == "organisation") | (F.levenshtein("family_a", "family_b", 2) >= 0))
+    near = near & F.arrays_overlap("initials_a", "initials_b")
+    links = cut_lineage(pairs.where(near).drop("initials_a", "initials_b").mapInPandas(_compare_pairs, "a long, b long, kind string, score int"))
+
+    # stronger links first; each kind is weighed between what the kinds before it have merged
+    merged = cut_lineage(components(links.where("kind = 'all'")))
+    for kind in ("middle", "initial"):
+        choice = cut_lineage(_only_choice(_settled(links.where(F.col("kind") == kind), merged)))
+        more = components(choice)
+        ids = merged.select("id", "component").unionAll(choice.select("a", "a").unionAll(choice.select("b", "b")).distinct().join(merged.select(F.col("id").alias("a")), "a", "left_anti"))
+        merged = cut_lineage(ids.join(more.select(F.col("id").alias("component"), F.col("component").alias("_c")), "component", "left").select("id", F.coalesce("_c", "component").alias("component")))
+    return parsed.select("name", "node").join(nodes.select("node", "id"), "node"), merged
+
+
 def link_spellings(names: DataFrame) -> DataFrame:
     """(name, entity): distinct spellings, as typed and trimmed, with the least folded form of the entity they belong to.
 
     names: (name STRING), any number of rows per spelling; null and blank ones are left out. Spellings that are linked to
     no other are entities of their own. Very long names are compared like others. An empty table gives no rows.
     """
-    distinct = names.select(trimmed(F.col("name")).alias("name")).where(F.col("name").isNotNull()).distinct()
-    parsed = cut_lineage(parsed_names(distinct))
-    nodes = parsed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("kind", "family", "given", "counts", "words")])
-    shorts = F.create_map(*[x for k, v in FULL.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in sorted(v)]))])
-    forms = F.array_union(F.col("words"), F.flatten(F.transform("given", lambda g: F.coalesce(F.try_element_at(shorts, g), F.array()))))
-    nodes = cut_lineage(nodes.withColumn("forms", forms).withColumn("others", F.array_union("forms", "given")))
-    pairs = candidate_pairs(nodes.select("node", F.col("forms").alias("words"), "others"))
-    sides = nodes.select("node", "kind", "family", "given", "counts", "others")
-    for end in ("a", "b"):
-        pairs = pairs.join(sides.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in sides.columns[1:]]), end)
-    near = (F.col("kind_a") == F.col("kind_b")) & ((F.col("kind_a") == "organisation") | (F.levenshtein("family_a", "family_b") <= 2))
-    initials = lambda end: F.transform(f"others_{end}", lambda o: F.substring(o, 1, 1))
-    near = near & F.arrays_overlap(initials("a"), initials("b"))
-    links = cut_lineage(pairs.where(near).drop("others_a", "others_b").repartition(shuffle_width(names.sparkSession)).mapInPandas(_compare_pairs, "a string, b string, kind string, score int"))
-
-    accepted = links.where("kind = 'all'").select("a", "b")
-    comps = cut_lineage(components(accepted))
-    middle = _only_choice(_settled(links.where("kind = 'middle'"), comps))
-    accepted = cut_lineage(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(middle))
-    comps = cut_lineage(components(accepted))
-    initial = _only_choice(_settled(links.where("kind = 'initial'"), comps))
-    accepted = cut_lineage(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(initial))
-    comps = components(accepted)
-    return parsed.select("name", "node").join(comps, parsed["node"] == comps["id"], "left").select("name", F.coalesce("component", "node").alias("entity"))
-
-
-def spelling_pairs(linked: DataFrame) -> DataFrame:
-    """(name_a, name_b), name_a < name_b by code point: all pairs of spellings of one entity."""
-    several = linked.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entity")
-    kept = linked.join(several, "entity")
-    return kept.withColumnRenamed("name", "name_a").join(kept.withColumnRenamed("name", "name_b"), "entity").where("name_a < name_b").select("name_a", "name_b")
+    spellings, merged = _linked(names)
+    known = spellings.join(merged, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = known.groupBy("component").agg(F.min("node").alias("entity"))
+    return known.join(least, "component").select("name", "entity")
+
+
+def spelling_pairs(names: DataFrame) -> DataFrame:
+    """(name_a, name_b), name_a < name_b by code point: all pairs of distinct spellings of one entity. names: as for link_spellings."""
+    spellings, merged = _linked(names)
+    known = cut_lineage(spellings.join(merged, "id", "left").select("name", F.coalesce("component", "id").alias("component")))
+    return known.withColumnRenamed("name", "name_a").join(known.withColumnRenamed("name", "name_b"), "component").where("name_a < name_b").select("name_a", "name_b")

@@ -56,7 +56,7 @@ def _canonical(spark: SparkSession, folder: str) -> DataFrame:
 
 def _spellings(spark: SparkSession, folder: str) -> DataFrame:
     authors = table(spark, folder, "author_data_openalex", "authors").select(F.explode("authors").alias("name"))
-    return names.link_spellings(authors.unionAll(table(spark, folder, "final_user_profiles", "author_name").select(F.col("author_name").alias("name"))))
+    return authors.unionAll(table(spark, folder, "final_user_profiles", "author_name").select(F.col("author_name").alias("name")))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,7 +64,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_entities(spark: SparkSession, folder: str) -> DataFrame:
-    return _spellings(spark, folder)
+    return names.link_spellings(_spellings(spark, folder))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
