@@ -251,44 +251,46 @@ def parsed_names(names: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes that share a block. nodes: (node, words, others), others the words and initials besides.
+    """Distinct (a, b), a < b, of nodes that share a block. nodes: (node, words, others), others the words and initials besides; and
+    maybe `given`, those of the words beside which an initial says nothing of the family name.
 
     No group is taken whole that may be larger than `block`, but those that agree in a whole word, another word's initial, its first three
     letters and all but one of its letters.
     """
-    words = nodes.select("node", "others", F.explode("words").alias("word"))
+    given = F.col("given") if "given" in nodes.columns else F.array().cast("array<string>")
+    words = nodes.select("node", "others", given.alias("given"), F.explode("words").alias("word")).withColumn("own", ~F.array_contains("given", F.col("word")))
     shortest = F.least(F.length("word"), F.greatest(F.lit(MIN_SUFFIX), F.ceil(F.length("word") / 2).cast("int")))
-    index = words.select("node", "word", F.explode("others").alias("o"), shortest.alias("k")).where("o <> word")
-    index = index.select("node", "word", "o", F.explode(F.sequence("k", F.length("word"))).alias("k"))
+    index = words.select("node", "own", "word", F.explode("others").alias("o"), shortest.alias("k")).where("o <> word")
+    index = index.select("node", "own", "word", "o", F.explode(F.sequence("k", F.length("word"))).alias("k"))
     # a pair that agrees in the letter before the suffix too meets under the longer one
     before = F.expr("substring(word, length(word) - k, if(k < length(word), 1, 0))")
-    index = index.select("node", F.col("k").eqNullSafe(F.length("word")).alias("whole"), before.alias("before"), F.expr("right(word, k)").alias("suffix"), F.substring("o", 1, 1).alias("one"), "o").withColumn("key", F.xxhash64("suffix", "one"))
+    index = index.select("node", "own", "word", F.col("k").eqNullSafe(F.length("word")).alias("whole"), before.alias("before"), F.expr("right(word, k)").alias("suffix"), F.substring("o", 1, 1).alias("one"), "o").withColumn("key", F.xxhash64("suffix", "one"))
     index = cut_lineage(index)
 
     def sized(rows: DataFrame) -> DataFrame:
         return rows.groupBy("key").agg(F.count_distinct("node").alias("n")).where("n > 1")
 
     def within(rows: DataFrame) -> DataFrame:
-        """Pairs of the blocks of rows (key, node, before), each of which is small."""
-        blocks = rows.groupBy("key").agg(F.collect_set(F.struct("node", "before")).alias("m"))
+        """Pairs of the blocks of rows (key, node, before, word), each of which is small, whose words are within two letters of each other."""
+        blocks = rows.groupBy("key").agg(F.collect_set(F.struct("node", "before", "word")).alias("m"))
         pairs = blocks.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y"))
-        return pairs.where("x.node < y.node and (x.before <> y.before or x.before = '')").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        return pairs.where("x.node < y.node and (x.before <> y.before or x.before = '') and levenshtein(x.word, y.word, 2) >= 0").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     sizes = cut_lineage(sized(index))
-    pairs = within(index.select("key", "node", "before").join(sizes.where(F.col("n") <= block).select("key"), "key"))
+    pairs = within(index.select("key", "node", "before", "word").join(sizes.where(F.col("n") <= block).select("key"), "key"))
 
     # what is common is refined by the other word's first three letters
     common = cut_lineage(index.join(sizes.where(F.col("n") > block).select("key"), "key").withColumnRenamed("key", "wide").withColumn("key", F.xxhash64("wide", F.substring("o", 1, 3))))
     finer = cut_lineage(sized(common))
-    pairs = pairs.unionAll(within(common.select("key", "node", "before").join(finer.where(F.col("n") <= block).select("key"), "key")))
+    pairs = pairs.unionAll(within(common.select("key", "node", "before", "word").join(finer.where(F.col("n") <= block).select("key"), "key")))
 
-    # whole words that are still common: by the other word with one letter left out
-    still = common.where("whole").join(finer.where(F.col("n") > block).select("key"), "key").select("node", F.col("key").alias("wide"), "o").distinct()
+    # whole words that are common: by the other word with one letter left out, so that no slip of a letter escapes
+    still = common.where("whole").select("node", "wide", "o").distinct()
     left_out = F.array_distinct(F.concat(F.array("o"), F.transform(F.sequence(F.lit(1), F.length("o")), lambda i: F.concat(F.substring("o", F.lit(1), i - 1), F.substring("o", i + 1, F.length("o"))))))
     still = still.select("node", F.explode(left_out).alias("form"), "wide").select("node", F.xxhash64("wide", "form").alias("key")).distinct()
     pairs = pairs.unionAll(still.withColumnRenamed("node", "a").join(still.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b"))
     # an initial or a word of two letters meets all that begin with the same letter
-    alike = common.where("whole").select("wide", "node", "o").distinct()
+    alike = common.where("whole and own").select("wide", "node", "o").distinct()
     short = alike.where(F.length("o") < 3).select("wide", F.col("node").alias("a")).distinct()
     met = short.join(alike.select("wide", F.col("node").alias("b")).distinct(), "wide").where("a <> b")
     pairs = pairs.unionAll(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
@@ -355,7 +357,7 @@ def _linked(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     shorts = F.create_map(*[x for k, v in FULL.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in sorted(v)]))])
     forms = F.array_union(F.col("words"), F.flatten(F.transform("given", lambda g: F.coalesce(F.try_element_at(shorts, g), F.array()))))
     nodes = cut_lineage(nodes.withColumn("forms", forms).withColumn("others", F.array_union("forms", "given")).withColumn("id", F.monotonically_increasing_id()))
-    pairs = candidate_pairs(nodes.select(F.col("id").alias("node"), F.col("forms").alias("words"), "others"))
+    pairs = candidate_pairs(nodes.select(F.col("id").alias("node"), F.col("forms").alias("words"), "others", F.array_union("given", F.array_except("forms", "words")).alias("given")))
     sides = nodes.select("id", "kind", "family", "given", "counts", F.transform("others", lambda o: F.substring(o, 1, 1)).alias("initials"))
     for end in ("a", "b"):
         pairs = pairs.join(sides.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in sides.columns[1:]]), end)

@@ -14,9 +14,13 @@ def squeezed(text: Column) -> Column:
     return F.when(out != "", out)
 
 
+# The characters of Unicode's property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(text: Column) -> Column:
     """Without Unicode white space at both ends; null and blank give null."""
-    out = F.regexp_replace(text, r"^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+$", "")
+    out = F.btrim(text, F.lit(WHITE_SPACE))
     return F.when(out != "", out)
 
 
