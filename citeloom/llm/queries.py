@@ -91,8 +91,12 @@ def p8_mix_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+def p8_seats(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.seats(table(spark, folder, "mix_targets"), table(spark, folder, "documents", "source"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentences(table(spark, folder, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_pair_counts, p3_found, p3_unmatched, p6_found, p6_entities, p7_found, p7_leaked_items, p8_mix, p8_mix_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_pair_counts, p3_found, p3_unmatched, p6_found, p6_entities, p7_found, p7_leaked_items, p8_mix, p8_mix_report, p8_seats, p9_found)}

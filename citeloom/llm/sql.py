@@ -27,7 +27,16 @@ p AS (SELECT a.field_name, a.item AS item_a, b.item AS item_b, count(*) AS share
 f AS (SELECT p.*, ka.c AS count_a, kb.c AS count_b, n.n FROM p JOIN k ka ON ka.field_name = p.field_name AND ka.item = item_a JOIN k kb ON kb.field_name = p.field_name AND kb.item = item_b JOIN n ON n.field_name = p.field_name)
 """
 
+_SOURCE = f"nullif(lower(trim(regexp_replace(source, '{_SPACE}', ' ', 'g'))), '')"
+_SEATS = f"""
+WITH h AS (SELECT {_SOURCE} AS source, count(*) AS n FROM documents GROUP BY 1),
+t AS (SELECT m.source, target_share, max_repeats, coalesce(n, 0) AS n FROM (SELECT {_SOURCE} AS source, target_share, max_repeats FROM mix_targets) m LEFT JOIN h ON h.source = m.source),
+q AS (SELECT source, target_share / (2 * k + 1) AS quotient, k FROM (SELECT source, target_share, unnest(range(0, n * max_repeats)) AS k FROM t)),
+r AS (SELECT source, row_number() OVER (ORDER BY quotient DESC, source) AS rk FROM q)
+SELECT t.source, count(r.rk) AS seats FROM t LEFT JOIN r ON r.source = t.source AND rk <= (SELECT sum(n) FROM t) GROUP BY t.source"""
+
 SQL = {
+    "p8_seats": _SEATS,
     "p1_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p1_term_counts": _TERMS + "SELECT field_name, term, uses, records, mark FROM m",
     "p2_found": _PAIRS + "SELECT field_name, item_a, item_b FROM f WHERE shared >= 5 AND n * shared >= 3 * count_a * count_b",

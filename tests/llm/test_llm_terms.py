@@ -147,3 +147,30 @@ def test_mix(spark, rows):
     assert rows(mixing.mix(df, targets, total_tokens=12_000, block=64, shard_tokens=2_000)[0]) == rows(drawn)
     drawn, report = mixing.mix(df.limit(0), targets)
     assert drawn.count() == 0 and report.agg({"used_tokens": "sum"}).first()[0] == 0
+
+
+def test_blocks_are_equal_and_no_token_is_used_too_often(spark):
+    rng = random.Random(16)
+    docs = [(i, " ".join(rng.choice(["red", "blue", "stone"]) for _ in range(rng.choice([1, 3, 40, 900]))), rng.choice(["web", "book"])) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("web", 0.3, 1), ("book", 0.7, 3)], "source string, target_share double, max_repeats int")
+    sizes = {r["doc_id"]: r["n_tokens"] for r in mixing.count_tokens(df, "text", ["doc_id"]).collect()}
+    source = {d: s for d, _, s in docs}
+    for total in (2_000, 30_000, 10**9):
+        drawn, report = mixing.mix(df, targets, total_tokens=total, block=64, shard_tokens=4_000)
+        rows = drawn.collect()
+        blocks, uses = {}, Counter()
+        for r in rows:
+            key = r["source"], r["shard"], r["block"]
+            assert source[r["doc_id"]] == r["source"] and blocks.setdefault(key, r["times"]) == r["times"]
+            blocks[key] = r["times"]
+            uses.update({(r["doc_id"], t): r["times"] for t in range(r["start_token"], r["start_token"] + r["n_tokens"])})
+        assert all(0 <= t < sizes[d] and 1 <= n <= {"web": 1, "book": 3}[source[d]] for (d, t), n in uses.items())
+        size = Counter()
+        for r in rows:
+            size[r["source"], r["shard"], r["block"]] += r["n_tokens"]
+        assert max(size.values()) == 64 and sum(v < 64 for v in size.values()) <= len({k[:2] for k in size})
+        for r in report.collect():
+            assert r["used_tokens"] == sum(size[k] * n for k, n in blocks.items() if k[0] == r["source"]) and -64 * 3 * len({k[:2] for k in size}) < r["over_tokens"] <= 0
+            if total == 10**9:
+                assert r["used_tokens"] == r["available_tokens"] * r["max_repeats"]
