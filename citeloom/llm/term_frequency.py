@@ -6,9 +6,9 @@ node with one container per next character. So prefixes are long where terms are
 containers leave the task as compact sorted blocks keyed by the prefix at which they hang.
 
 Tries of different tasks burst at different depths. A routing table makes them meet: the prefixes under which
-more than 1/ROUTES of all shipped suffixes lie. By that definition it has at most ROUTES entries per
-length, and lengths end at ROUTE_DEPTH, so its size is bounded whatever the data; below the deepest heavy
-prefix a hash of the suffix splits what is still too much for one route. Every block is cut at the
+more than ROUTE_SUFFIXES shipped suffixes lie, or 1/ROUTES of all if that is less. So no route holds more than ROUTE_SUFFIXES,
+however many there are in all, and the table has at most one entry per length and ROUTE_SUFFIXES suffixes; lengths end at
+ROUTE_DEPTH, below which a hash of the suffix splits what is still too much for one route. Every block is cut at the
 routing prefixes and equal routes are merged, in order, one route at a time.
 """
 
@@ -29,8 +29,9 @@ BURST = 256
 #: Suffixes that a task's tries hold before they are shipped and begun anew; bounds a task's memory.
 TRIE_ENTRIES = 300_000
 ROUTES = 256
+ROUTE_SUFFIXES = 500_000
 ROUTE_DEPTH = 24
-#: Parts into which a prefix that is heavy at ROUTE_DEPTH is split.
+#: Parts into which a prefix that is heavy at ROUTE_DEPTH is split at least; more where there are more routes.
 DEEP_SPLIT = 64
 BLOCK = "field_name string, prefix string, n long, block binary"
 
@@ -130,12 +131,12 @@ def heavy_prefixes(blocks: DataFrame, routes: int = ROUTES, depth: int = ROUTE_D
     return heavy
 
 
-def route(text: str, heavy: set[str], depth: int = ROUTE_DEPTH) -> str:
+def route(text: str, heavy: set[str], depth: int = ROUTE_DEPTH, split: int = DEEP_SPLIT) -> str:
     """The shortest prefix of text that is not heavy, or text itself; below depth a split by hash is appended."""
     k = 0
     while k < len(text) and text[:k] in heavy:
         if k == depth:
-            return f"{text[:k]}\0{zlib.crc32(text.encode('utf-8', 'surrogatepass')) % DEEP_SPLIT}"
+            return f"{text[:k]}\0{zlib.crc32(text.encode('utf-8', 'surrogatepass')) % split}"
         k += 1
     return text[:k]
 
@@ -149,7 +150,9 @@ def term_counts(terms: DataFrame) -> DataFrame:
     """
     spark = terms.sparkSession
     blocks = cut_lineage(terms.select("field_name", "term", "uses", "records").mapInPandas(_build, BLOCK))
-    heavy = heavy_prefixes(blocks)
+    total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    routes = max(ROUTES, -(-total // ROUTE_SUFFIXES))
+    heavy, split = heavy_prefixes(blocks, routes), max(DEEP_SPLIT, routes)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,7 +162,7 @@ def term_counts(terms: DataFrame) -> DataFrame:
                 mine = heavy.get(field, set())
                 for suffix, uses, records in decode_block(block):
                     text = prefix + suffix
-                    parts.setdefault(route(text, mine), {})[text] = (uses, records)
+                    parts.setdefault(route(text, mine, split=split), {})[text] = (uses, records)
                 rows += [(field, r, len(p), encode_block(p)) for r, p in parts.items()]
             yield pd.DataFrame(rows, columns=["field_name", "prefix", "n", "block"])
 
