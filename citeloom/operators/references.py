@@ -3,11 +3,12 @@
 Keys are integers (ids as they are, text ids by the number they denote: an order-preserving
 dictionary that needs no table). A key is split into its range (the bits above 16) and its place
 in the range, a period is a calendar month. Every task packs what it reads into one container per
-(space, range, table, month): sorted 16-bit places while they are few, a bitmap of 65,536 bits beyond.
-Containers of a range meet in one partition, where they are read in order one after another:
+(space, range, table, month): sorted 16-bit places while they are few, a bitmap of 65,536 bits beyond. Parents
+are packed by range and turned into bitmaps for every month that is referred to.
+Containers of a range and month meet in one partition, where they are read in order one after another:
 reference AND NOT parent leaves the orphans, whose bits are decoded. Months in which a key's
-own state changes can't be decided by month; only references in those go on to an exact comparison of
-the timestamps.
+own state changes can't be decided by month; only references of such keys in such months are compared by
+timestamp: they are picked out before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.session import cut_lineage, shuffle_width
+from citeloom.session import checked_broadcast, cut_lineage, shuffle_width
 
 RANGE_BITS = 16
 RANGE = 1 << RANGE_BITS
@@ -104,54 +105,66 @@ def _pack_parents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"space": pd.Series([x[0] for x in out], dtype="int32"), "hi": pd.Series([x[1] for x in out], dtype="int64"), "kind": pd.Series(0, index=range(len(out)), dtype="int32"), "month": pd.Series(0, index=range(len(out)), dtype="int32"), "body": [x[2] for x in out]})
 
 
-class _Parents:
-    """The parent rows of one key range and, per month, their bitmaps."""
+ROW = [("lo", "<u2"), ("first", "<i4"), ("last", "<i4")]
+BYTES = RANGE // 8
 
-    def __init__(self, bodies: list[bytes]):
-        rows = np.unique(np.frombuffer(b"".join(bodies), dtype=[("lo", "<u2"), ("first", "<i4"), ("last", "<i4")]))
-        self.lo, self.first, self.last = rows["lo"], rows["first"], rows["last"]
-        self.known = self.bits(np.ones(len(rows), dtype=bool))
-        self.months: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def bits(self, of: np.ndarray) -> np.ndarray:
-        bits = np.zeros(RANGE, dtype=bool)
-        bits[self.lo[of]] = True
-        return np.packbits(bits)
+def _packed_bits(places: np.ndarray) -> bytes:
+    bits = np.zeros(RANGE, dtype=bool)
+    bits[places] = True
+    return np.packbits(bits).tobytes()
+
+
+def _parent_bitmaps(months: list[int]):
+    """Packed parents in order of (space, hi) to one row per range and month: known, live throughout, changing within, removed before."""
+
+    def of_range(space: int, hi: int, bodies: list[bytes]) -> pd.DataFrame:
+        rows = np.unique(np.frombuffer(b"".join(bodies), dtype=ROW))
+        lo, first, last = rows["lo"], rows["first"], rows["last"]
+        known = _packed_bits(lo)
+        body = [known + _packed_bits(lo[(first < m) & (last > m)]) + _packed_bits(lo[(first == m) | (last == m)]) + _packed_bits(lo[last < m]) for m in months]
+        return pd.DataFrame({"space": np.int32(space), "hi": np.int64(hi), "kind": np.int32(0), "month": np.array(months, dtype=np.int32), "body": body})
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, bodies = None, []
+        for batch in batches:
+            for space, hi, body in zip(batch["space"], batch["hi"], batch["body"]):
+                if at is not None and at != (space, hi):
+                    yield of_range(*at, bodies)
+                    bodies = []
+                at = space, hi
+                bodies.append(body)
+        if at is not None:
+            yield of_range(*at, bodies)
 
-    def month(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Live from the month's start to its end; changing within it; removed before it."""
-        if m not in self.months:
-            self.months[m] = (self.bits((self.first < m) & (self.last > m)), self.bits((self.first == m) | (self.last == m)), self.bits(self.last < m))
-        return self.months[m]
+    return work
 
 
 def _subtract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Containers in order of (space, hi, kind, month): AND NOT against the range's parents."""
-    at, bodies, parents = None, [], None
-    now, bits = None, None
+    """Containers in order of (space, hi, month, kind), the parents' first: AND NOT against them."""
+    none = (np.zeros(BYTES, dtype=np.uint8),) * 4
+    at, parents, now, bits = None, none, None, None
 
     def survivors() -> Iterator[pd.DataFrame]:
-        live, changing, removed = parents.month(now[3])
+        known, live, changing, removed = parents
         left = bits & ~live
-        for verdict, part in (("missing", left & ~parents.known), ("changing", left & changing), ("deleted", left & ~changing & removed), ("late", left & parents.known & ~changing & ~removed)):
+        for verdict, part in (("missing", left & ~known), ("changing", left & changing), ("deleted", left & ~changing & removed), ("late", left & known & ~changing & ~removed)):
             places = np.flatnonzero(np.unpackbits(part))
             if len(places):
-                yield pd.DataFrame({"space": np.int32(now[0]), "table_no": np.int32(now[2] - 1), "month": np.int32(now[3]), "key": (np.int64(now[1]) << RANGE_BITS) + places, "verdict": verdict})
+                yield pd.DataFrame({"space": np.int32(now[0]), "table_no": np.int32(now[3] - 1), "month": np.int32(now[2]), "key": (np.int64(now[1]) << RANGE_BITS) + places, "verdict": verdict})
 
     for batch in batches:
         for space, hi, kind, month, body in zip(batch["space"], batch["hi"], batch["kind"], batch["month"], batch["body"]):
-            if now is not None and now != (space, hi, kind, month):
+            if now is not None and now != (space, hi, month, kind):
                 yield from survivors()
                 now = None
-            if at != (space, hi):
-                at, bodies, parents = (space, hi), [], None
+            if at != (space, hi, month):
+                at, parents = (space, hi, month), none
             if kind == 0:
-                bodies.append(body)
+                parents = tuple(np.frombuffer(body, dtype=np.uint8).reshape(4, BYTES))
                 continue
-            if parents is None:
-                parents = _Parents(bodies)
             bits = decode_bits(body) if now is None else bits | decode_bits(body)
-            now = (space, hi, kind, month)
+            now = (space, hi, month, kind)
     if now is not None:
         yield from survivors()
 
@@ -178,16 +191,19 @@ def orphan_references(references: list[tuple[str, int, DataFrame]], parents: lis
         olds = part if olds is None else olds.unionAll(part)
 
     months = olds.select("space", "key", F.coalesce(month_of("added_at"), F.lit(int(1e6))).alias("first"), F.coalesce(month_of("removed_at"), F.lit(int(1e7))).alias("last"))
-    containers = refs.select("space", "table_no", month_of("at").alias("month"), "key").mapInPandas(_pack_references, PACKED)
-    containers = containers.unionAll(months.mapInPandas(_pack_parents, PACKED))
-    containers = containers.repartition(shuffle_width(refs.sparkSession), "space", "hi").sortWithinPartitions("space", "hi", "kind", "month")
+    width = shuffle_width(refs.sparkSession)
+    containers = cut_lineage(refs.select("space", "table_no", month_of("at").alias("month"), "key").mapInPandas(_pack_references, PACKED))
+    asked = sorted(r["month"] for r in containers.select("month").distinct().collect())  # as many as there are months
+    bitmaps = months.mapInPandas(_pack_parents, PACKED).repartition(width, "space", "hi").sortWithinPartitions("space", "hi").mapInPandas(_parent_bitmaps(asked), PACKED)
+    containers = containers.unionAll(bitmaps).repartition(width, "space", "hi", "month").sortWithinPartitions("space", "hi", "month", "kind")
     decided = cut_lineage(containers.mapInPandas(_subtract, "space int, table_no int, month int, key long, verdict string"))
 
     changing = decided.where(F.col("verdict") == "changing").select("space", "table_no", "month", "key")
+    # references of those keys and months, before they are shuffled
+    open_ = refs.withColumn("month", month_of("at")).join(checked_broadcast(changing), ["space", "table_no", "month", "key"], "left_semi").distinct()
     intervals = changing.join(olds, ["space", "key"])
     exact = (
-        refs.withColumn("month", month_of("at")).select("space", "table_no", "month", "key", "at").distinct()
-        .join(intervals, ["space", "table_no", "month", "key"])
+        open_.join(intervals, ["space", "table_no", "month", "key"])
         .groupBy("table_no", "month", "key", "at")
         .agg(F.max(F.coalesce((F.col("added_at") <= F.col("at")) & (F.col("removed_at").isNull() | (F.col("at") < F.col("removed_at"))), F.lit(False))).alias("live"), F.max(F.coalesce(F.col("removed_at") <= F.col("at"), F.lit(False))).alias("gone"))
         .where(~F.col("live"))
