@@ -41,6 +41,17 @@ def test_percentiles_are_exact_on_a_hot_key(spark, buckets):
     assert got == {k: (brute_percentile(v, 0.5), brute_percentile(v, 0.9)) for k, v in by.items()}
 
 
+@pytest.mark.parametrize("range_rows", [1, 7, 100])
+def test_large_ranges_are_cut_again_until_none_is(spark, range_rows):
+    rng = random.Random(2)
+    data = [(1, rng.randrange(100_000)) for _ in range(2000)] + [(k, rng.randrange(50)) for k in (2, 3, None) for _ in range(40)]
+    got = keyed.percentiles(keyed.compress(spark.createDataFrame(data, "key long, value long"), "key", "value"), {"a": 0.01, "b": 0.5, "c": 0.99}, 4, range_rows)
+    by = {}
+    for k, v in data:
+        by.setdefault(k, []).append(v)
+    assert {r["key"]: (r["a"], r["b"], r["c"]) for r in got.collect()} == {k: tuple(brute_percentile(v, p) for p in (0.01, 0.5, 0.99)) for k, v in by.items()}
+
+
 def test_heavy_keys_in_whole_numbers(spark):
     df = spark.createDataFrame([(1, 1)] * 3 + [(k, 1) for k in range(2, 299)], "key long, value long")
     profiles = keyed.profile(keyed.compress(df, "key", "value"))
