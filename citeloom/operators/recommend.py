@@ -1,8 +1,8 @@
 """Recommendations: similarity of stated queries to all items, top-k and bottom-k, negatives.
 
-Queries are a stated set, taken in blocks of bounded size; each block is scored against the items' partitions where they
-lie, and a partition sends only its k best rows per query. No pair is made that isn't scored and no list of
-pairs is shuffled.
+Queries are a stated set, taken in blocks as large as a broadcast may be; a block is scored against the items' partitions
+where they lie, some queries and items at a time, and a partition sends only its k best rows per query. No pair is made that
+isn't scored and no list of pairs is shuffled.
 """
 
 from __future__ import annotations
@@ -19,12 +19,15 @@ from citeloom.functions.vectors import sigmoid
 from citeloom.operators.numbering import dense_ids
 from citeloom.session import cut_lineage
 
-#: Queries that are scored at once, and with them the size of what is broadcast.
-QUERY_BLOCK = 512
+#: Numbers that a block of queries may hold and that are broadcast with it; 64 MB.
+BLOCK_VALUES = 8_000_000
+#: Scores that are worked on at once.
+CELLS = 2_000_000
 
 
-def _blocks(queries: DataFrame, key: str, size: int) -> list[DataFrame]:
-    n = queries.count()
+def _blocks(queries: DataFrame, key: str, width: int, size: int | None) -> list[DataFrame]:
+    """Parts of the queries, of `size` rows, or as many as have BLOCK_VALUES numbers of which each row has `width`."""
+    n, size = queries.count(), size or max(1, BLOCK_VALUES // max(width, 1))
     blocks = max(1, -(-n // size))
     return [queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) if blocks > 1 else queries for b in range(blocks)]
 
@@ -43,12 +46,44 @@ def _ranked(df: DataFrame, k: int, ascending: bool = False) -> DataFrame:
     return df.withColumn("rk", F.row_number().over(order).cast("long")).where(F.col("rk") <= k).select("query_id", "rk", "item_id", F.round("score", 6).alias("score"))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, ascending: bool) -> np.ndarray:
-    """Places of the k best by rounded score, then id. NaN scores are out."""
-    key = np.round(scores, 9) * (1 if ascending else -1)
-    order = np.lexsort((ids, key))
-    order = order[~np.isnan(scores[order])]
-    return order[:k]
+class _Best:
+    """The k best items of each of n queries so far: by the score to 9 places, then by id. NaN scores are out."""
+
+    def __init__(self, n: int, k: int, ascending: bool = False):
+        self.k, self.sign = k, 1.0 if ascending else -1.0
+        self.ids, self.scores = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), np.nan)
+
+    def _pick(self, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best columns of each row, of columns in order of ids."""
+        if scores.shape[1] <= self.k:
+            return scores, ids
+        key = np.round(scores, 9) * self.sign
+        key[np.isnan(key)] = np.inf
+        last = np.partition(key, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+        below, equal = key < last, key == last
+        below |= equal & (np.cumsum(equal, axis=1) <= self.k - below.sum(axis=1, keepdims=True))
+        return scores[below].reshape(-1, self.k), ids[below].reshape(-1, self.k)
+
+    def add(self, begin: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: rows of the queries from `begin` on, columns of the items `ids`, which go up."""
+        end = begin + len(scores)
+        new, new_ids = self._pick(scores, np.broadcast_to(ids, scores.shape))
+        both, both_ids = np.hstack([self.scores[begin:end], new]), np.hstack([self.ids[begin:end], new_ids])
+        order = np.argsort(both_ids, axis=1, kind="stable")
+        self.scores[begin:end], self.ids[begin:end] = self._pick(np.take_along_axis(both, order, 1), np.take_along_axis(both_ids, order, 1))
+
+    def rows(self, queries: np.ndarray) -> pd.DataFrame:
+        known = ~np.isnan(self.scores)
+        return pd.DataFrame({"query_id": np.repeat(queries, known.sum(axis=1)), "item_id": self.ids[known], "score": self.scores[known]})
+
+
+def _hide(scores: np.ndarray, queries: np.ndarray, seen_by: pd.Series) -> None:
+    for c, by in enumerate(seen_by):
+        if by is not None and len(by):
+            at = np.searchsorted(queries, np.asarray(by, dtype=np.int64))
+            ok = at < len(queries)
+            ok[ok] = queries[at[ok]] == np.asarray(by, dtype=np.int64)[ok]
+            scores[at[ok], c] = np.nan
 
 
 def _seen_by(items: DataFrame, seen: DataFrame | None, part: DataFrame) -> DataFrame:
@@ -59,12 +94,12 @@ def _seen_by(items: DataFrame, seen: DataFrame | None, part: DataFrame) -> DataF
     return items.join(by, "item_id", "left")
 
 
-def vector_topk(items: DataFrame, queries: DataFrame, k: int = 5, cosine: bool = True, seen: DataFrame | None = None, own: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+def vector_topk(items: DataFrame, queries: DataFrame, k: int = 5, cosine: bool = True, seen: DataFrame | None = None, own: bool = False, block: int | None = None) -> DataFrame:
     """(query_id, rk, item_id, score): the k items of highest score to each query.
 
     items and queries: (id LONG, vector ARRAY of one length). score is (cosine + 1) / 2, or the sigmoid of the dot product. With own,
     an item may be its query; without, it is left out, and so are the items of seen (query_id, item_id). Null and empty vectors
-    are in no result; a zero vector's cosine is 0. Ties, to 9 places, go to the smaller id.
+    are in no result; a zero vector's cosine is 0. Ties, to 9 places, go to the smaller id. block: queries of a block.
     """
     spark = items.sparkSession
     items = items.select(F.col("id").cast("long").alias("item_id"), "vector").where("item_id is not null and size(vector) > 0")
@@ -79,26 +114,28 @@ def vector_topk(items: DataFrame, queries: DataFrame, k: int = 5, cosine: bool =
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids, q = shared.value
+            best = _Best(len(qids), k)
             for batch in batches:
                 if not len(batch) or not len(qids):
                     continue
+                batch = batch.sort_values("item_id")
                 iids, vectors = batch["item_id"].to_numpy(dtype=np.int64), np.stack(batch["vector"].to_numpy()).astype(float)
-                scores = q @ (_unit(vectors) if cosine else vectors).T
-                scores = (scores + 1) / 2 if cosine else 1 / (1 + np.exp(-scores))
-                if not own:
-                    scores[qids[:, None] == iids[None, :]] = np.nan
-                for c, by in enumerate(batch["seen_by"]):
-                    if by is not None and len(by):
-                        scores[np.searchsorted(qids, np.asarray(by, dtype=np.int64)), c] = np.nan
-                out = []
-                for r in range(len(qids)):
-                    at = _best(scores[r], iids, k, False)
-                    out.append(pd.DataFrame({"query_id": qids[r], "item_id": iids[at], "score": scores[r][at]}))
-                yield pd.concat(out)
+                vectors = _unit(vectors) if cosine else vectors
+                step = max(1, CELLS // len(iids))
+                for begin in range(0, len(qids), step):
+                    scores = q[begin : begin + step] @ vectors.T
+                    scores = (scores + 1) / 2 if cosine else 1 / (1 + np.exp(-scores))
+                    mine = qids[begin : begin + step]
+                    if not own:
+                        scores[mine[:, None] == iids[None, :]] = np.nan
+                    _hide(scores, mine, batch["seen_by"])
+                    best.add(begin, scores, iids)
+            yield best.rows(qids)
 
         return _seen_by(items, seen, part.select("query_id")).mapInPandas(score, "query_id long, item_id long, score double")
 
-    return _ranked(_union([score_block(b) for b in _blocks(queries, "query_id", block)]), k)
+    width = queries.agg(F.max(F.size("vector"))).first()[0] or 1
+    return _ranked(_union([score_block(b) for b in _blocks(queries, "query_id", width, block)]), k)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -106,7 +143,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def dot_scores(left: DataFrame, right: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+def dot_scores(left: DataFrame, right: DataFrame, block: int | None = None) -> DataFrame:
     """(a_id, b_id, score): sigmoid of the dot product of every query (left) with every other row of right; left is taken in blocks."""
 
     def score_block(part: DataFrame) -> DataFrame:
@@ -118,19 +155,23 @@ def dot_scores(left: DataFrame, right: DataFrame, block: int = QUERY_BLOCK) -> D
             qids, q = shared.value
             for batch in batches:
                 batch = batch[batch["vector"].map(lambda v: v is not None and len(v) > 0)]
-                if len(batch) and len(qids):
-                    dots = q @ np.stack(batch["vector"].to_numpy()).astype(float).T
-                    own = batch["id"].to_numpy(dtype=np.int64)
-                    out = pd.DataFrame({"a_id": np.repeat(qids, len(own)), "b_id": np.tile(own, len(qids)), "x": dots.ravel()})
+                if not len(batch) or not len(qids):
+                    continue
+                own, vectors = batch["id"].to_numpy(dtype=np.int64), np.stack(batch["vector"].to_numpy()).astype(float)
+                step = max(1, CELLS // len(own))
+                for begin in range(0, len(qids), step):
+                    mine = qids[begin : begin + step]
+                    out = pd.DataFrame({"a_id": np.repeat(mine, len(own)), "b_id": np.tile(own, len(mine)), "x": (q[begin : begin + step] @ vectors.T).ravel()})
                     yield out[out["a_id"] != out["b_id"]]
 
         return right.select(F.col("id").cast("long").alias("id"), "vector").where("id is not null").mapInPandas(score, "a_id long, b_id long, x double")
 
-    out = _union([score_block(b) for b in _blocks(left, "id", block)])
+    width = left.agg(F.max(F.size("vector"))).first()[0] or 1
+    out = _union([score_block(b) for b in _blocks(left, "id", width, block)])
     return out.select("a_id", "b_id", F.round(sigmoid(F.col("x")), 6).alias("score"))
 
 
-def bag_ranking(profiles: DataFrame, bags: DataFrame, seen: DataFrame | None, k: int = 5, ascending: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+def bag_ranking(profiles: DataFrame, bags: DataFrame, seen: DataFrame | None, k: int = 5, ascending: bool = False, block: int | None = None) -> DataFrame:
     """(query_id, rk, item_id, score): for each profile the k items of highest (or lowest) (cosine + 1) / 2 of weighted keyword bags.
 
     profiles: (query_id LONG, keyword, weight); bags: (item_id LONG, keyword, weight). Items in seen (query_id, item_id) are left
@@ -140,7 +181,9 @@ def bag_ranking(profiles: DataFrame, bags: DataFrame, seen: DataFrame | None, k:
     spark = bags.sparkSession
     item_lists = cut_lineage(bags.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.collect_list(F.struct("keyword", F.col("weight").cast("double").alias("weight"))).alias("bag")))
     parts = []
-    for part in _blocks(profiles.select("query_id").distinct(), "query_id", block):
+    widest = profiles.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    # a keyword of a profile takes as much room as ten numbers
+    for part in _blocks(profiles.select("query_id").distinct(), "query_id", 10 * widest, block):
         mine = profiles.join(part, "query_id", "left_semi").select(F.col("query_id").cast("long").alias("query_id"), "keyword", F.col("weight").cast("double").alias("weight"))
         words: dict[str, dict[int, float]] = {}
         squares: dict[int, float] = {}
@@ -158,26 +201,27 @@ def bag_ranking(profiles: DataFrame, bags: DataFrame, seen: DataFrame | None, k:
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, norms, postings = shared.value
-            for batch in batches:
-                own = batch["item_id"].to_numpy(dtype=np.int64)
-                scores = np.zeros((len(ids), len(own)))
-                for c, (bag, seen_by) in enumerate(zip(batch["bag"], batch["seen_by"])):
-                    square = 0.0
-                    for x in bag:
-                        square += x["weight"] ** 2
-                        if x["keyword"] in postings:
-                            rows_, weights = postings[x["keyword"]]
-                            scores[rows_, c] += weights * x["weight"]
-                    if square > 0:
-                        scores[:, c] /= norms * np.sqrt(square)
-                    if seen_by is not None and len(seen_by):
-                        scores[np.searchsorted(ids, np.asarray(seen_by, dtype=np.int64)), c] = np.nan
-                scores = (scores + 1) / 2
-                out = []
-                for r in range(len(ids)):
-                    best = _best(scores[r], own, k, ascending)
-                    out.append(pd.DataFrame({"query_id": ids[r], "item_id": own[best], "score": scores[r][best]}))
-                yield pd.concat(out)
+            best = _Best(len(ids), k, ascending)
+            for whole in batches:
+                whole = whole.sort_values("item_id")
+                step = max(1, CELLS // len(ids))
+                for begin in range(0, len(whole), step):
+                    batch = whole.iloc[begin : begin + step]
+                    own = batch["item_id"].to_numpy(dtype=np.int64)
+                    scores = np.zeros((len(ids), len(own)))
+                    for c, bag in enumerate(batch["bag"]):
+                        square = 0.0
+                        for x in bag:
+                            square += x["weight"] ** 2
+                            if x["keyword"] in postings:
+                                rows_, weights = postings[x["keyword"]]
+                                scores[rows_, c] += weights * x["weight"]
+                        if square > 0:
+                            scores[:, c] /= norms * np.sqrt(square)
+                    scores = (scores + 1) / 2
+                    _hide(scores, ids, batch["seen_by"])
+                    best.add(0, scores, own)
+            yield best.rows(ids)
 
         parts.append(rows.mapInPandas(score, "query_id long, item_id long, score double"))
     if not parts:
@@ -186,15 +230,28 @@ def bag_ranking(profiles: DataFrame, bags: DataFrame, seen: DataFrame | None, k:
 
 
 def _draws(positives: DataFrame, per_positive: int, tries: int, seed: int) -> tuple[DataFrame, DataFrame, int, DataFrame]:
-    """(distinct positives, numbered items, their count, accepted draws (user_id, of, item_id, j, i))."""
+    """(distinct positives, numbered items, their count, accepted draws (user_id, of, item_id, j, i)).
+
+    per_positive draws are made for every positive, the other ones only where some of those were rejected.
+    """
     pairs = cut_lineage(positives.where("user_id is not null and item_id is not null").select("user_id", "item_id").distinct())
     items = cut_lineage(dense_ids(pairs.select("item_id").distinct(), ["item_id"], "number"))
     n = items.count()
-    drawn = pairs.select("user_id", F.col("item_id").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("j"))
-    number = F.pmod(F.col("user_id") * 7919 + F.col("of") * 104729 + F.col("j") * 1299709 + seed, F.lit(max(n, 1)))
-    drawn = drawn.withColumn("number", number).join(items, "number").join(pairs, ["user_id", "item_id"], "left_anti")
+
+    def accepted(rows: DataFrame, first: int, last: int) -> DataFrame:
+        drawn = rows.withColumn("j", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        number = F.pmod(F.col("user_id") * 7919 + F.col("of") * 104729 + F.col("j") * 1299709 + seed, F.lit(max(n, 1)))
+        return drawn.withColumn("number", number).join(items, "number").join(pairs, ["user_id", "item_id"], "left_anti")
+
+    every = pairs.select("user_id", F.col("item_id").alias("of"))
     order = Window.partitionBy("user_id", "of").orderBy("j")
-    return pairs, items, n, drawn.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_positive).select("user_id", "of", "item_id", "j", "i")
+    soon = cut_lineage(accepted(every, 0, per_positive - 1).select("user_id", "of", "item_id", "j").withColumn("i", F.row_number().over(order)))
+    if tries <= per_positive:
+        return pairs, items, n, soon
+    full = soon.where(F.col("i") == per_positive).select("user_id", "of")
+    short = every.join(full, ["user_id", "of"], "left_anti").join(soon.groupBy("user_id", "of").agg(F.max("i").alias("got")), ["user_id", "of"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    late = accepted(short, per_positive, tries - 1).withColumn("i", F.row_number().over(order) + F.col("got")).where(F.col("i") <= per_positive)
+    return pairs, items, n, soon.unionByName(late.select("user_id", "of", "item_id", "j", "i"))
 
 
 def negative_samples(positives: DataFrame, per_positive: int = 4, tries: int = 8, seed: int = 17) -> DataFrame:
@@ -215,7 +272,7 @@ def training_negatives(positives: DataFrame, per_positive: int = 4, tries: int =
     """(user_id, of, item_id): exactly per_positive rows for each distinct positive (user_id, of), of items the user has no positive with.
 
     The draws are those of negative_samples, but nothing is merged. What `tries` draws leave open is taken from the user's
-    unseen items: a hash of the positive and the draw, mod their count, is a place among them in order. So an item may be drawn
+    unseen items: the first 60 bits of the MD5 of user:item:draw:seed, mod their count, are a place among them in order. So an item may be drawn
     again, as with redrawing. Only users who have every item get no rows.
     """
     pairs, items, n, kept = _draws(positives, per_positive, tries, seed)
@@ -225,7 +282,8 @@ def training_negatives(positives: DataFrame, per_positive: int = 4, tries: int =
     short = cut_lineage(short.select("user_id", "of", F.explode(F.sequence(F.col("n") + 1, F.lit(per_positive))).alias("i")))
     mine = pairs.join(short.select("user_id").distinct(), "user_id", "left_semi").join(items, "item_id").select("user_id", "number")
     unseen = mine.groupBy("user_id").agg((F.lit(n) - F.count(F.lit(1))).alias("unseen")).where("unseen > 0")
-    place = F.pmod(F.xxhash64("user_id", "of", "i", F.lit(seed)), F.col("unseen"))
+    mixed = F.substring(F.md5(F.concat_ws(":", "user_id", "of", "i", F.lit(seed))), 1, 15)
+    place = F.conv(mixed, 16, 10).cast("long") % F.col("unseen")
     asked = short.join(unseen, "user_id").select("user_id", "of", place.alias("place"), F.lit(1).alias("ask"))
     # a positive's number less the positives before it is the count of unseen items before it
     before = mine.withColumn("place", F.col("number") - F.row_number().over(Window.partitionBy("user_id").orderBy("number")) + 1)

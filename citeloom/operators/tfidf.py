@@ -22,11 +22,13 @@ def _terms(lists: DataFrame, words: str | F.Column, *keep: str) -> DataFrame:
 def vocabulary(lists: DataFrame, n: int, min_df: int = 2, max_df: float = 0.95, size: int = 5000) -> DataFrame:
     """(term, df, cf): the `size` terms of highest corpus frequency in at least min_df and at most max_df of n documents.
 
-    Ties go to the smaller term. Term counts combine on the map side; the result has at most `size` rows.
+    Ties go to the smaller term. Both counts come from one reading of the texts and combine on the map side; the result has
+    at most `size` rows.
     """
-    spread = _terms(lists, F.array_distinct("words")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = _terms(lists, "words").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
-    kept = spread.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).join(total, "term")
+    both = F.concat(F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))), F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))))
+    seen = lists.select(F.explode(both).alias("s")).where(is_token(F.col("s.term")))
+    counts = seen.groupBy("s.term").agg(F.sum("s.d").alias("df"), F.sum("s.c").alias("cf"))
+    kept = counts.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     return kept.orderBy(F.desc("cf"), "term").limit(size)
 
 

@@ -407,6 +407,11 @@ def negative_samples(spark: SparkSession, d: str) -> DataFrame:
     return recommend.negative_samples(table(spark, d, "final_user_interactions", "user_id", "item_id"))
 
 
+@query
+def training_negatives(spark: SparkSession, d: str) -> DataFrame:
+    return recommend.training_negatives(table(spark, d, "final_user_interactions", "user_id", "item_id"))
+
+
 @query
 def mf_recommend(spark: SparkSession, d: str) -> DataFrame:
     seen = cut_lineage(table(spark, d, "final_user_interactions", "user_id", "item_id").where("user_id is not null and item_id is not null").groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")))

@@ -80,7 +80,19 @@ SELECT query_id AS {user}, row_number() OVER (PARTITION BY query_id ORDER BY rou
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
+_DRAWS = """p AS (SELECT DISTINCT user_id, item_id FROM final_user_interactions WHERE user_id IS NOT NULL AND item_id IS NOT NULL),
+        i AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS number FROM (SELECT DISTINCT item_id FROM p)),
+        d AS (SELECT user_id, item_id AS src, unnest(range(0, 8)) AS j FROM p),
+        x AS (SELECT d.user_id, d.src, j, i.item_id FROM d JOIN i ON i.number = (d.user_id * 7919 + d.src * 104729 + j * 1299709 + 17) % (SELECT count(*) FROM i)),
+        k AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = x.user_id AND p.item_id = x.item_id) QUALIFY row_number() OVER (PARTITION BY user_id, src ORDER BY j) <= 4)"""
+
 SQL = {
+    "training_negatives": f"""WITH {_DRAWS},
+        s AS (SELECT p.user_id, p.item_id AS src, unnest(range(coalesce(n, 0) + 1, 5)) AS i FROM p LEFT JOIN (SELECT user_id, src, count(*) AS n FROM k GROUP BY ALL) c ON c.user_id = p.user_id AND c.src = p.item_id),
+        u AS (SELECT a.user_id, i.item_id, row_number() OVER (PARTITION BY a.user_id ORDER BY i.item_id) - 1 AS place, count(*) OVER (PARTITION BY a.user_id) AS unseen
+          FROM (SELECT DISTINCT user_id FROM s) a CROSS JOIN i WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = a.user_id AND p.item_id = i.item_id)),
+        f AS (SELECT s.user_id, s.src, u.item_id FROM s JOIN u ON u.user_id = s.user_id AND u.place = CAST('0x' || substr(md5(concat_ws(':', s.user_id, s.src, s.i, 17)), 1, 15) AS BIGINT) % u.unseen)
+        SELECT user_id, src AS "of", item_id FROM k UNION ALL SELECT user_id, src, item_id FROM f""",
     "clean_tokens": f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, {_words('text')} AS w FROM documents)",
     "tfidf_vocab": f"WITH {_tfidf('documents', 'doc_id')} SELECT term, df, cf FROM v",
     "tfidf_top3": f"WITH {_tfidf('documents', 'doc_id')} SELECT doc_id, rk, term, score FROM k",
