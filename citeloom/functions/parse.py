@@ -30,6 +30,13 @@ def candidate_list(df: DataFrame, column: str) -> DataFrame:
     return out.withColumn("candidates", F.transform("candidates", lambda c: F.struct(c["label_idx"].try_cast("int").alias("label_idx"), c["category"].alias("category"), c["reasoning"].alias("reasoning"))))
 
 
+def usage(df: DataFrame, column: str) -> DataFrame:
+    """df with input_tokens and output_tokens of the answer's `usage` block; what is missing or unreadable counts as 0."""
+    parsed = F.from_json(column, "struct<usage:struct<prompt_tokens:string,completion_tokens:string>>")
+    tokens = lambda name: F.coalesce(F.col(f"_u.usage.{name}").try_cast("long"), F.lit(0).cast("long"))
+    return df.withColumn("_u", parsed).withColumns({"input_tokens": tokens("prompt_tokens"), "output_tokens": tokens("completion_tokens")}).drop("_u")
+
+
 def keyword_list(printed: F.Column) -> F.Column:
     """The terms of a printed list, in single or double quotes; null and unreadable texts give an empty array."""
     return F.transform(F.regexp_extract_all(F.coalesce(printed, F.lit("")), F.lit(r"""'([^']*)'|"([^"]*)\""""), F.lit(0)), lambda m: F.substring(m, F.lit(2), F.length(m) - 2))

@@ -24,6 +24,20 @@ def cost_summary(calls: DataFrame, project_size: int | None, input_price: float
     )
 
 
+def report_lines(summary: DataFrame) -> DataFrame:
+    """(line_no, line): the summary as text, with commas in whole numbers and four places in costs. An empty summary gives no lines."""
+    whole = lambda c: F.format_number(F.col(c).cast("long"), 0)
+    dollars = lambda c: F.format_string("$%.4f", c)
+    lines = [
+        ("Calls", whole("calls")), ("Input tokens", whole("total_input_tokens")), ("Output tokens", whole("total_output_tokens")), ("All tokens", whole("total_tokens")),
+        ("Projected input tokens", whole("projected_input_tokens")), ("Projected output tokens", whole("projected_output_tokens")),
+        ("Projected input cost", dollars("projected_input_cost")), ("Projected output cost", dollars("projected_output_cost")), ("Projected cost", dollars("projected_cost")),
+        ("Share of input in cost", F.format_string("%.2f%%", F.coalesce(F.try_divide("projected_input_cost", "projected_cost"), F.lit(0.0)) * 100)),
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(k + 1).cast("long").alias("line_no"), F.concat(F.lit(f"{k + 1:02d} {name}: "), value).alias("line")) for k, (name, value) in enumerate(lines)]))
+    return summary.select(each.alias("s")).select("s.line_no", "s.line")
+
+
 def timing_summary(calls: DataFrame) -> DataFrame:
     """One row: calls, total_seconds, mean_seconds of calls with a duration `seconds`; a null mean for none."""
     known = calls.where(F.col("seconds").isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citeloom.operators.numbering import dense_ids
 from citeloom.session import cut_lineage
 
 
@@ -81,26 +82,33 @@ def context_text(context: DataFrame, distribution: DataFrame, categories: DataFr
     return context.join(texts, "idx", "left").select("idx", F.coalesce("evidence", "branch").alias("text"))
 
 
-def forest_fire(nodes: DataFrame, edges: DataFrame, target: int, burn: float = 0.75, seed: int = 7, max_rounds: int = 200) -> DataFrame:
+def forest_fire(nodes: DataFrame, edges: DataFrame, target: int, burn: float = 0.75, seed: int = 7) -> DataFrame:
     """(idx, round): a forest-fire sample of min(target, number of nodes) nodes, the same for the same seed.
 
     Round by round every burning node draws k with P(k) = (1 - burn) burn^k from a hash and sets fire to its first k
-    out-neighbours that haven't burned, in a hash order; a fire that dies starts again at an unburned node. Nodes of one
-    round don't see each other's fires, unlike a queue that is worked off one by one; the last round is cut to size by hash.
-    Each round is a join of the frontier with the edges, written down before the next.
+    out-neighbours that haven't burned, in a hash order; a fire that dies starts again at an unburned node, and at twice as many at once
+    each time that it dies without having spread further than it was lit, so that a graph of scattered pieces takes few jobs. Each such
+    node has a round of its own. Nodes of one round don't see each other's fires, unlike a queue that is worked off
+    one by one; the last round is cut to size by hash. Each round is a join of the frontier with the edges, written down before the next.
     """
     nodes = cut_lineage(nodes.select("idx").where("idx is not null").distinct())
     edges = cut_lineage(simple_edges(edges))
     goal = min(target, nodes.count())
     burned = nodes.limit(0).withColumn("round", F.lit(0).cast("long"))
-    frontier, n, step = None, 0, 0
+    frontier, n, step, lit_at_once, spread_since = None, 0, 0, 1, 0
     uniform = (F.pmod(F.xxhash64("src", F.lit(seed)), F.lit(1 << 30)) + 1) / ((1 << 30) + 1)
     while n < goal:
-        if step > max_rounds:  # what is missing comes straight from the hash order
-            rest = nodes.join(burned, "idx", "left_anti").orderBy(F.xxhash64("idx", F.lit(seed)), "idx").limit(goal - n)
-            return burned.unionAll(rest.withColumn("round", F.lit(step).cast("long")))
         if frontier is None:
-            lit = nodes.join(burned, "idx", "left_anti").orderBy(F.xxhash64("idx", F.lit(seed + step)), "idx").limit(1)
+            if step:
+                lit_at_once = 1 if spread_since > lit_at_once else 2 * lit_at_once
+            spread_since = 0
+            order = [F.xxhash64("idx", F.lit(seed + step)), F.col("idx")]
+            lit = cut_lineage(nodes.join(burned, "idx", "left_anti").orderBy(*order).limit(min(lit_at_once, goal - n)))
+            lit = cut_lineage(dense_ids(lit.select("idx", order[0].alias("at")), ["at", "idx"], "round", step).select("idx", F.col("round").cast("long").alias("round")))
+            size = lit.count()
+            burned = cut_lineage(burned.unionAll(lit))
+            frontier, n, step = lit.select("idx"), n + size, step + size
+            continue
         else:
             open_ = edges.join(frontier.select(F.col("idx").alias("src")), "src").join(burned.select(F.col("idx").alias("dst")), "dst", "left_anti")
             order = Window.partitionBy("src").orderBy(F.xxhash64("dst", F.lit(seed)), "dst")
@@ -109,8 +117,8 @@ def forest_fire(nodes: DataFrame, edges: DataFrame, target: int, burn: float = 0
         size = lit.count()
         if size == 0:
             frontier = None
-            step += 1
             continue
+        spread_since += size
         if n + size > goal:
             lit = lit.orderBy(F.xxhash64("idx", F.lit(seed)), "idx").limit(goal - n)
             size = goal - n

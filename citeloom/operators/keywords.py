@@ -19,6 +19,14 @@ def field_keywords(items: DataFrame, key: str = "node_idx", fields: tuple[str, .
     return long.select("item_id", "field", keyword_form(F.col("t")).alias("keyword")).where("keyword <> ''").distinct()
 
 
+def first_positions(items: DataFrame, key: str = "node_idx", fields: tuple[str, ...] = ("domain", "task", "method")) -> DataFrame:
+    """(item_id, keyword, pos): each item's distinct keywords with the place where they first stand, fields in order."""
+    each = F.explode(F.array(*[F.struct(F.lit(no).alias("no"), F.col(f).alias("terms")) for no, f in enumerate(fields)])).alias("s")
+    long = items.where(F.col(key).isNotNull()).select(F.col(key).alias("item_id"), each).select("item_id", "s.no", F.posexplode("s.terms").alias("at", "t"))
+    rows = long.select("item_id", keyword_form(F.col("t")).alias("keyword"), (F.col("no").cast("long") * (1 << 32) + F.col("at")).alias("pos"))
+    return rows.where("keyword <> ''").groupBy("item_id", "keyword").agg(F.min("pos").alias("pos"))
+
+
 def vocabulary(keywords: DataFrame) -> DataFrame:
     """(keyword, keyword_id): ids from 1 in the keywords' order; 0 stands for no keyword."""
     return dense_ids(keywords.select("keyword").distinct(), ["keyword"], "keyword_id", 1).select("keyword", "keyword_id")

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from citeloom.session import cut_lineage, shuffle_width
 
 
+def cardinalities(df: DataFrame, *columns: str) -> DataFrame:
+    """(column_name, cardinality): the largest id and one more, the size of a table indexed by that column; 0 where there is no id."""
+    sizes = df.agg(*[F.coalesce(F.max(c) + 1, F.lit(0)).cast("long").alias(c) for c in columns])
+    return sizes.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("cardinality")) for c in columns])).alias("s")).select("s.column_name", "s.cardinality")
+
+
 def dense_ids(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
     """df with `name`, start, start + 1, ... in order of the columns `order`, which must tell all rows apart.
 

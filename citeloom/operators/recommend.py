@@ -175,7 +175,7 @@ def bag_ranking(profiles: DataFrame, bags: DataFrame, seen: DataFrame | None, k:
     """(query_id, rk, item_id, score): for each profile the k items of highest (or lowest) (cosine + 1) / 2 of weighted keyword bags.
 
     profiles: (query_id LONG, keyword, weight); bags: (item_id LONG, keyword, weight). Items in seen (query_id, item_id) are left
-    out. Items without a shared keyword score 0.5, as for a profile of unknown keywords; ties go to the smaller item_id.
+    out. Items without a shared keyword score 0.5, as for a profile of unknown keywords or of no weight; ties go to the smaller item_id.
     An item's seen-by list holds queries of one block only, so its length is bounded by the block.
     """
     spark = bags.sparkSession
@@ -217,7 +217,7 @@ def bag_ranking(profiles: DataFrame, bags: DataFrame, seen: DataFrame | None, k:
                                 rows_, weights = postings[x["keyword"]]
                                 scores[rows_, c] += weights * x["weight"]
                         if square > 0:
-                            scores[:, c] /= norms * np.sqrt(square)
+                            scores[:, c] /= np.where(norms > 0, norms, 1.0) * np.sqrt(square)
                     scores = (scores + 1) / 2
                     _hide(scores, ids, batch["seen_by"])
                     best.add(0, scores, own)

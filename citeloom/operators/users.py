@@ -31,12 +31,15 @@ def interactions(authors: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def top_keywords(pairs: DataFrame, item_keywords: DataFrame, k: int = 5) -> DataFrame:
-    """(user_id, rk, keyword, cnt): the k most frequent keywords of each user's papers; ties go to the smaller keyword.
+    """(user_id, rk, keyword, cnt): the k most frequent keywords of each user's papers; ties go to the one that comes first, by paper and place in it, then to
+    the smaller.
 
-    pairs: (user_id, item_id, n); item_keywords: distinct (item_id, keyword).
+    pairs: (user_id, item_id, n); item_keywords: distinct (item_id, keyword), with the keyword's place `pos` in the paper, if known.
     """
-    counts = pairs.join(item_keywords, "item_id").groupBy("user_id", "keyword").agg(F.sum("n").alias("cnt"))
-    order = Window.partitionBy("user_id").orderBy(F.desc("cnt"), "keyword")
+    place = F.col("pos") if "pos" in item_keywords.columns else F.lit(0)
+    rows = pairs.join(item_keywords.select("item_id", "keyword", place.alias("pos")), "item_id")
+    counts = rows.groupBy("user_id", "keyword").agg(F.sum("n").alias("cnt"), F.min(F.struct("item_id", "pos")).alias("first"))
+    order = Window.partitionBy("user_id").orderBy(F.desc("cnt"), "first", "keyword")
     return counts.withColumn("rk", F.row_number().over(order).cast("long")).where(F.col("rk") <= k).select("user_id", "rk", "keyword", "cnt")
 
 

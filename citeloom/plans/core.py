@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from citeloom.functions import parse
 from citeloom.functions import text as T
-from citeloom.operators import cost, evaluate, graph, keywords, models, numbering, recommend, tfidf, users
+from citeloom.operators import cost, evaluate, graph, jobs, keywords, models, numbering, prompts, recommend, tfidf, users
 from citeloom.operators.references import number_key
 from citeloom.plans.core_sql import SQL  # noqa: F401
 from citeloom.session import cut_lineage, shared_folder, spread
@@ -80,14 +80,18 @@ def strip_abstract_marker(spark: SparkSession, d: str) -> DataFrame:
 @query
 def prompt_truncate(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text").where("text is not null")
-    return docs.select("doc_id", F.length(T.truncate(F.col("text"), 500)).cast("long").alias("prompt_chars"), (F.length("text") > 500).alias("was_cut"))
+    return docs.select("doc_id", F.length(T.truncate(F.col("text"))).cast("long").alias("prompt_chars"), (F.length("text") > 2000).alias("was_cut"))
+
+
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    """The list of categories as one text, in one row."""
+    names = table(spark, d, "labelidx2category", "label_idx", "category", "description")
+    return names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label_idx", F.concat("category", F.lit(": "), F.coalesce("description", F.lit("no description"))).alias("t")))), lambda x: x["t"]), "\n").alias("listed"))
 
 
 @query
 def topic_prompts(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "labelidx2category", "label_idx", "category", "description")
-    listed = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label_idx", F.concat("category", F.lit(": "), F.coalesce("description", F.lit("no description"))).alias("t")))), lambda x: x["t"]), "\n").alias("listed"))
-    rows = table(spark, d, "topic_prediction_results", "node_index", "title", "abstract", "citation_context").distinct().join(F.broadcast(listed))
+    rows = table(spark, d, "topic_prediction_results", "node_index", "title", "abstract", "citation_context").distinct().join(F.broadcast(_listed(spark, d)))
     return rows.select("node_index", F.length(T.topic_prompt(F.col("title"), F.col("abstract"), F.col("listed"), F.col("citation_context"))).cast("long").alias("n_chars"))
 
 
@@ -130,7 +134,7 @@ def user_interactions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def user_top5_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return users.top_keywords(_user_pairs(spark, d), _keywords(spark, d).select("item_id", "keyword").distinct())
+    return users.top_keywords(_user_pairs(spark, d), keywords.first_positions(_extracted(spark, d)))
 
 
 @query
@@ -148,6 +152,11 @@ def interaction_stats(spark: SparkSession, d: str) -> DataFrame:
     return users.interaction_stats(table(spark, d, "final_user_interactions", "user_id"))
 
 
+@query
+def id_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    return numbering.cardinalities(table(spark, d, "final_user_interactions", "user_id", "item_id"), "user_id", "item_id")
+
+
 @query
 def dense_reindex(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "final_user_interactions", "item_id", "created_at").where("item_id is not null")
@@ -234,7 +243,8 @@ def distinct_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str, flag: str | None = None) -> DataFrame:
-    """Part to next part of the same order, by (line number, part)."""
+    """Part to next part of the same order, by (line number, part). The tables hold no citations; with a return flag, its lines make a
+    graph of their own, thin enough to have isolated parts."""
     rows = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
     if flag:
         rows = rows.where(F.col("l_returnflag") == flag)
@@ -345,6 +355,11 @@ def llm_cost_summary(spark: SparkSession, d: str) -> DataFrame:
     return cost.cost_summary(calls, 16000)
 
 
+@query
+def cost_report(spark: SparkSession, d: str) -> DataFrame:
+    return cost.report_lines(llm_cost_summary(spark, d))
+
+
 @query
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "llm_extraction_results", "status").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -402,6 +417,38 @@ def recommend_bottomk(spark: SparkSession, d: str) -> DataFrame:
     return recommend.bag_ranking(_profiles(spark, d), _bags(spark, d), _seen(spark, d), ascending=True).withColumnRenamed("query_id", "user_id")
 
 
+def _shown(spark: SparkSession, d: str, ranking: DataFrame) -> DataFrame:
+    titles = _node_map(spark, d).join(_papers(spark, d).select("paper", "title"), "paper").where("title is not null").groupBy(F.col("node_idx").alias("item_id")).agg(F.min("title").alias("title"))
+    authors = authors_short(spark, d).groupBy(F.col("node_idx").alias("item_id")).agg(F.min("authors_str").alias("authors_str"))
+    pool = _profiles(spark, d).select(F.col("query_id").alias("user_id"), "keyword")
+    return prompts.decorated(ranking, "user_id", titles, authors, pool, _keywords(spark, d).select("item_id", "keyword"))
+
+
+@query
+def recommend_shown(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(spark, d, cut_lineage(recommend_topk_unseen(spark, d)))
+
+
+@query
+def recommend_bottom_shown(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(spark, d, cut_lineage(recommend_bottomk(spark, d)))
+
+
+def _prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of the predictions whose node is divisible by 100 stand for prompts."""
+    return table(spark, d, "topic_prediction_results", "node_index", "title").where("node_index % 100 = 0").groupBy(F.col("node_index").alias("prompt_id")).agg(F.min("title").alias("text"))
+
+
+@query
+def prompt_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.prompt_keywords(_prompts(spark, d))
+
+
+@query
+def prompt_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return prompts.rank_prompts(prompts.prompt_keywords(_prompts(spark, d)), _bags(spark, d))
+
+
 @query
 def negative_samples(spark: SparkSession, d: str) -> DataFrame:
     return recommend.negative_samples(table(spark, d, "final_user_interactions", "user_id", "item_id"))
@@ -447,6 +494,13 @@ def parse_llm_json(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("node_idx", each).select("node_idx", "s.field", F.explode("s.terms").alias("value")).where("value is not null")
 
 
+@query
+def parse_usage(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "llm_extraction_results", "node_idx", "input_tokens", "output_tokens").distinct()
+    bodies = rows.select("node_idx", F.to_json(F.struct(F.struct(F.col("input_tokens").alias("prompt_tokens"), F.col("output_tokens").alias("completion_tokens")).alias("usage"))).alias("body"))
+    return parse.usage(bodies, "body").drop("body")
+
+
 @query
 def parse_works_json(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "author_data_openalex", "paper_id", "authors").distinct()
@@ -462,10 +516,52 @@ def enrich_with_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def classify_offline(spark: SparkSession, d: str) -> DataFrame:
-    requests = table(spark, d, "topic_prediction_results", "node_index", "title").distinct().select(F.col("node_index").alias("node_idx"), "title").groupBy("node_idx").agg(F.min("title").alias("text"))
+def id_batches(spark: SparkSession, d: str) -> DataFrame:
+    return providers.joined_ids(table(spark, d, "nodeidx2paperid", "paper_id"))
+
+
+def _job(spark: SparkSession, d: str, fatal: str | None = None, **how) -> jobs.JobResult:
+    """Keyword extraction for the nodes without a successful result, by a provider that fails at times."""
+    papers = _papers(spark, d).select("paper", T.truncate(T.title_and_abstract(F.col("title"), F.col("abstract"))).alias("text"))
+    done = table(spark, d, "llm_extraction_results", "node_idx", "status").where("status = 'success'")
+    return jobs.keyword_job(_node_map(spark, d).join(papers, "paper"), done, providers.unreliable(providers.offline_lengths, fatal), **how)
+
+
+@query
+def enrichment_job(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.by_status(_job(spark, d, policy=providers.CallPolicy(attempts=2)))
+
+
+@query
+def enrichment_costing(spark: SparkSession, d: str) -> DataFrame:
+    return _job(spark, d, policy=providers.CallPolicy(attempts=2), project_size=16000, limit=100).costs
+
+
+@query
+def enrich_until_fatal(spark: SparkSession, d: str) -> DataFrame:
+    policy = providers.CallPolicy(tasks=1, at_once=1, attempts=2)
+    return jobs.by_status(_job(spark, d, "77", policy=policy)).where("status <> 'missing'").select("node_idx", "status")
+
+
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    """Three candidates for every node, from its title, abstract and citation context; abstracts that hold ERROR are skipped."""
+    rows = table(spark, d, "topic_prediction_results", "node_index", "title", "abstract", "citation_context").where("not contains(coalesce(abstract, ''), 'ERROR')").distinct()
+    prompt = T.topic_prompt(F.col("title"), F.col("abstract"), F.col("listed"), F.col("citation_context"))
+    requests = rows.join(F.broadcast(_listed(spark, d))).groupBy(F.col("node_index").alias("node_idx")).agg(F.min(prompt).alias("text"))
     labels = table(spark, d, "labelidx2category", "label_idx").agg(F.max("label_idx") + 1).first()[0]
-    answers = parse.candidate_list(providers.call_all(requests, providers.offline_label(int(labels))), "body")
+    return parse.candidate_list(providers.call_all(requests, providers.offline_label(int(labels))), "body")
+
+
+@query
+def classify_evaluate(spark: SparkSession, d: str) -> DataFrame:
+    truth = table(spark, d, "topic_prediction_results", "node_index", "true_label_idx").groupBy("node_index").agg(F.min("true_label_idx").alias("true_label_idx"))
+    answers = _classified(spark, d).select(F.col("node_idx").alias("node_index"), F.col("candidates").alias("topk_candidates"))
+    return evaluate.accuracy(evaluate.scored(truth.join(answers, "node_index")))
+
+
+@query
+def classify_offline(spark: SparkSession, d: str) -> DataFrame:
+    answers = _classified(spark, d)
     return answers.select("node_idx", F.posexplode("candidates").alias("pos", "c")).select("node_idx", (F.col("pos") + 1).cast("long").alias("rk"), "c.label_idx")
 
 

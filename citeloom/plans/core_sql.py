@@ -86,7 +86,67 @@ _DRAWS = """p AS (SELECT DISTINCT user_id, item_id FROM final_user_interactions
         x AS (SELECT d.user_id, d.src, j, i.item_id FROM d JOIN i ON i.number = (d.user_id * 7919 + d.src * 104729 + j * 1299709 + 17) % (SELECT count(*) FROM i)),
         k AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.user_id = x.user_id AND p.item_id = x.item_id) QUALIFY row_number() OVER (PARTITION BY user_id, src ORDER BY j) <= 4)"""
 
+_TOPIC_TEXT = """l AS (SELECT string_agg(category || ': ' || coalesce(description, 'no description'), chr(10) ORDER BY label_idx) AS listed, max(label_idx) + 1 AS n_labels FROM labelidx2category),
+        rq AS (SELECT node_index, n_labels, min('Choose the best categories for the paper.' || chr(10) || 'Categories:' || chr(10) || listed || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Abstract: ' || coalesce(abstract, '') || coalesce(chr(10) || 'Citation context: ' || citation_context, '')) AS text
+          FROM topic_prediction_results, l WHERE NOT contains(coalesce(abstract, ''), 'ERROR') GROUP BY ALL),
+        an AS (SELECT node_index, k + 1 AS rk, (CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) + 7 * k) % n_labels AS label_idx FROM rq, (SELECT unnest(range(0, 3)) AS k))"""
+_PENDING = f"""{_PAPERS}, {_MAP}, tx AS (SELECT node_idx, max(substr(coalesce(title, '') || ' ' || coalesce(abstract, ''), 1, 2000)) AS text FROM m JOIN papers USING (paper)
+          WHERE node_idx IS NOT NULL AND node_idx NOT IN (SELECT node_idx FROM llm_extraction_results WHERE status = 'success' AND node_idx IS NOT NULL) GROUP BY node_idx),
+        jb AS (SELECT node_idx, text, CASE WHEN NOT regexp_matches(text, '\\S') THEN 'missing' WHEN md5(text)[1] = '0' THEN 'failed' ELSE 'success' END AS status FROM tx)"""
+_PHRASES = """pr AS (SELECT node_index AS prompt_id, min(title) AS text FROM topic_prediction_results WHERE node_index % 100 = 0 GROUP BY 1),
+        wd AS (SELECT prompt_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM pr),
+        ph AS (SELECT DISTINCT prompt_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS keyword FROM wd)"""
+
+
+def _cost(calls: str) -> str:
+    return f"""c AS (SELECT count(*) AS calls, CAST(coalesce(sum(input_tokens), 0) AS BIGINT) AS i, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS o FROM {calls}),
+        a AS (SELECT *, coalesce(CAST(i AS DOUBLE) / nullif(calls, 0), 0) AS ai, coalesce(CAST(o AS DOUBLE) / nullif(calls, 0), 0) AS ao FROM c),
+        cs AS (SELECT calls, i AS total_input_tokens, o AS total_output_tokens, i + o AS total_tokens, round(ai, 6) AS avg_input_tokens, round(ao, 6) AS avg_output_tokens,
+        round(ai * CAST(16000 AS DOUBLE), 3) AS projected_input_tokens, round(ao * CAST(16000 AS DOUBLE), 3) AS projected_output_tokens,
+        round(ai * 16000e0 / 1e6 * 0.15e0, 6) AS projected_input_cost, round(ao * 16000e0 / 1e6 * 0.6e0, 6) AS projected_output_cost, round(ai * 16000e0 / 1e6 * 0.15e0 + ao * 16000e0 / 1e6 * 0.6e0, 6) AS projected_cost FROM a)"""
+
+
+def _shown(direction: str) -> str:
+    return f"""WITH r AS (SELECT * FROM ({_ranking(direction, True, 'user_id')})), {_KEYWORDS}, {_PAPERS}, {_MAP},
+        ti AS (SELECT node_idx AS item_id, min(title) AS title FROM m JOIN papers USING (paper) WHERE title IS NOT NULL GROUP BY 1),
+        au AS (SELECT node_idx AS item_id, min(authors_str) AS authors_str FROM (
+          SELECT node_idx, CASE WHEN len(a) > 3 THEN array_to_string(a[1:3], ', ') || '...' WHEN len(a) > 0 THEN array_to_string(a, ', ') ELSE 'Unknown Authors' END AS authors_str
+          FROM (SELECT node_idx, list_filter(authors, lambda x: x IS NOT NULL AND trim(x, ' ') <> '') AS a FROM author_data_openalex WHERE node_idx IS NOT NULL)) GROUP BY 1),
+        po AS (SELECT DISTINCT user_id, lower(trim(t, ' ')) AS keyword FROM (SELECT user_id, unnest(top_keywords) AS t FROM final_user_profiles WHERE user_id % 100 = 0) WHERE t IS NOT NULL),
+        ma AS (SELECT r.user_id, r.item_id, string_agg(DISTINCT kw.keyword, ', ' ORDER BY kw.keyword) AS matches FROM r JOIN kw ON kw.item_id = r.item_id JOIN po ON po.user_id = r.user_id AND po.keyword = kw.keyword GROUP BY ALL)
+        SELECT r.user_id, r.rk, r.item_id, r.score, printf('%.1f%%', round(r.score * 100, 1)) AS score_percent, coalesce(title, 'Title Not Found') AS title, coalesce(authors_str, 'Unknown Authors') AS authors_str, coalesce(matches, '') AS matches
+        FROM r LEFT JOIN ti ON ti.item_id = r.item_id LEFT JOIN au ON au.item_id = r.item_id LEFT JOIN ma ON ma.user_id = r.user_id AND ma.item_id = r.item_id"""
+
+
 SQL = {
+    "id_cardinality": "SELECT 'user_id' AS column_name, CAST(coalesce(max(user_id) + 1, 0) AS BIGINT) AS cardinality FROM final_user_interactions UNION ALL SELECT 'item_id', CAST(coalesce(max(item_id) + 1, 0) AS BIGINT) FROM final_user_interactions",
+    "id_batches": "SELECT n // 40 AS batch_no, string_agg(paper_id, '|' ORDER BY paper_id) AS ids FROM (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS n FROM (SELECT DISTINCT trim(paper_id, ' ') AS paper_id FROM nodeidx2paperid) WHERE paper_id <> '') GROUP BY 1",
+    "cost_report": f"""WITH {_cost("llm_extraction_results WHERE status = 'success'")},
+        ln AS (SELECT unnest([{{'n': 'Calls', 'v': format('{{:,}}', calls)}}, {{'n': 'Input tokens', 'v': format('{{:,}}', total_input_tokens)}}, {{'n': 'Output tokens', 'v': format('{{:,}}', total_output_tokens)}}, {{'n': 'All tokens', 'v': format('{{:,}}', total_tokens)}},
+          {{'n': 'Projected input tokens', 'v': format('{{:,}}', CAST(floor(projected_input_tokens) AS BIGINT))}}, {{'n': 'Projected output tokens', 'v': format('{{:,}}', CAST(floor(projected_output_tokens) AS BIGINT))}},
+          {{'n': 'Projected input cost', 'v': printf('$%.4f', projected_input_cost)}}, {{'n': 'Projected output cost', 'v': printf('$%.4f', projected_output_cost)}}, {{'n': 'Projected cost', 'v': printf('$%.4f', projected_cost)}},
+          {{'n': 'Share of input in cost', 'v': printf('%.2f%%', coalesce(projected_input_cost / nullif(projected_cost, 0), 0) * 100)}}]) AS x, unnest(range(1, 11)) AS line_no FROM cs)
+        SELECT line_no, printf('%02d ', line_no) || x.n || ': ' || x.v AS line FROM ln""",
+    "prompt_keywords": f"WITH {_PHRASES} SELECT prompt_id, keyword FROM ph",
+    "prompt_ranking": f"""WITH {_KEYWORDS}, {_PHRASES},
+        bag AS (SELECT item_id, keyword, sum(CASE WHEN field = 'domain' THEN 2 ELSE 1 END) AS weight FROM kw GROUP BY ALL),
+        kn AS (SELECT DISTINCT prompt_id, trim(keyword, ' ') AS keyword FROM ph WHERE trim(keyword, ' ') IN (SELECT keyword FROM bag)),
+        qn AS (SELECT prompt_id, sqrt(count(kn.keyword)) AS norm FROM (SELECT DISTINCT prompt_id FROM ph) LEFT JOIN kn USING (prompt_id) GROUP BY prompt_id),
+        bn AS (SELECT item_id, sqrt(sum(weight * weight)) AS norm FROM bag GROUP BY item_id),
+        hit AS (SELECT prompt_id, item_id, sum(weight) AS dot FROM kn JOIN bag USING (keyword) GROUP BY ALL),
+        s AS (SELECT q.prompt_id, b.item_id, (coalesce(dot / nullif(q.norm * b.norm, 0), 0) + 1) / 2 AS score FROM qn q CROSS JOIN bn b LEFT JOIN hit h ON h.prompt_id = q.prompt_id AND h.item_id = b.item_id)
+        SELECT prompt_id, row_number() OVER (PARTITION BY prompt_id ORDER BY round(score, 9) DESC, item_id) AS rk, item_id, round(score, 6) AS score FROM s QUALIFY rk <= 5""",
+    "recommend_shown": _shown("DESC"),
+    "recommend_bottom_shown": _shown("ASC"),
+    "parse_usage": "SELECT node_idx, coalesce(input_tokens, 0) AS input_tokens, coalesce(output_tokens, 0) AS output_tokens FROM (SELECT DISTINCT node_idx, input_tokens, output_tokens FROM llm_extraction_results)",
+    "enrichment_job": f"WITH {_PENDING} SELECT node_idx, status, CASE WHEN status = 'success' THEN length(text) // 4 ELSE 0 END AS input_tokens, CASE WHEN status = 'success' THEN length(text) // 16 ELSE 0 END AS output_tokens FROM jb",
+    "enrichment_costing": f"WITH {_PENDING}, fi AS (SELECT * FROM jb ORDER BY node_idx LIMIT 100), ok AS (SELECT length(text) // 4 AS input_tokens, length(text) // 16 AS output_tokens FROM fi WHERE status = 'success'), {_cost('ok')} SELECT * FROM cs",
+    "enrich_until_fatal": f"""WITH {_PENDING}, st AS (SELECT node_idx, CASE WHEN md5(text)[1:2] = '77' THEN 'fatal' ELSE status END AS status FROM jb WHERE status <> 'missing')
+        SELECT node_idx, status FROM st WHERE node_idx <= coalesce((SELECT min(node_idx) FROM st WHERE status = 'fatal'), node_idx)""",
+    "classify_offline": f"WITH {_TOPIC_TEXT} SELECT node_index AS node_idx, rk, label_idx FROM an",
+    "classify_evaluate": f"""WITH {_TOPIC_TEXT}, tr AS (SELECT node_index, min(true_label_idx) AS t FROM topic_prediction_results GROUP BY 1),
+        ev AS (SELECT tr.node_index, coalesce(bool_or(label_idx = t AND rk = 1), false) AS a, coalesce(bool_or(label_idx = t), false) AS b FROM tr JOIN an USING (node_index) WHERE t IS NOT NULL GROUP BY 1)
+        SELECT count(*) AS n, round(count(*) FILTER (WHERE a) / count(*), 6) AS top1_acc, round(count(*) FILTER (WHERE b) / count(*), 6) AS top3_acc, count(*) FILTER (WHERE NOT b) AS n_miss, round(count(*) FILTER (WHERE NOT b) / count(*), 6) AS miss_rate FROM ev""",
     "training_negatives": f"""WITH {_DRAWS},
         s AS (SELECT p.user_id, p.item_id AS src, unnest(range(coalesce(n, 0) + 1, 5)) AS i FROM p LEFT JOIN (SELECT user_id, src, count(*) AS n FROM k GROUP BY ALL) c ON c.user_id = p.user_id AND c.src = p.item_id),
         u AS (SELECT a.user_id, i.item_id, row_number() OVER (PARTITION BY a.user_id ORDER BY i.item_id) - 1 AS place, count(*) OVER (PARTITION BY a.user_id) AS unseen
@@ -99,7 +159,7 @@ SQL = {
     "tfidf_paper_keywords": f"WITH {_PAPERS}, p AS (SELECT paper, coalesce(title, '') || ' ' || coalesce(abstract, '') AS text FROM papers), {_tfidf('p', 'paper')} SELECT paper, rk, term, score FROM k",
     "title_abstract_split": f"WITH {_PAPERS} SELECT paper, coalesce(title, '') AS title, length(coalesce(abstract, '')) AS n_abstract_chars, length('Title: ' || coalesce(title, '') || chr(10) || 'Abstract: ' || coalesce(abstract, '')) AS n_labelled_chars FROM papers",
     "strip_abstract_marker": "SELECT doc_id, length('Abstract ' || text) AS n_before, length(trim(regexp_replace('Abstract ' || text, 'Abstract', ''), ' ')) AS n_after FROM documents WHERE text IS NOT NULL",
-    "prompt_truncate": "SELECT doc_id, length(substr(text, 1, 500)) AS prompt_chars, length(text) > 500 AS was_cut FROM documents WHERE text IS NOT NULL",
+    "prompt_truncate": "SELECT doc_id, length(substr(text, 1, 2000)) AS prompt_chars, length(text) > 2000 AS was_cut FROM documents WHERE text IS NOT NULL",
     "topic_prompts": """WITH l AS (SELECT string_agg(category || ': ' || coalesce(description, 'no description'), chr(10) ORDER BY label_idx) AS listed FROM labelidx2category)
         SELECT node_index, length('Choose the best categories for the paper.' || chr(10) || 'Categories:' || chr(10) || listed || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Abstract: ' || coalesce(abstract, '') || coalesce(chr(10) || 'Citation context: ' || citation_context, '')) AS n_chars
         FROM (SELECT DISTINCT node_index, title, abstract, citation_context FROM topic_prediction_results), l""",
@@ -107,8 +167,11 @@ SQL = {
         SELECT count(*) AS total, count(*) FILTER (WHERE found) AS found, round(count(*) FILTER (WHERE found) / count(*), 6) AS found_ratio FROM c""",
     "user_registry": f"WITH {_USERS} SELECT user_id, author_name FROM reg",
     "user_interactions": f"WITH {_USERS} SELECT user_id, item_id, n FROM ui",
-    "user_top5_keywords": f"""WITH {_USERS}, c AS (SELECT user_id, keyword, CAST(sum(n) AS BIGINT) AS cnt FROM ui JOIN (SELECT DISTINCT item_id, keyword FROM kw) USING (item_id) GROUP BY ALL)
-        SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY cnt DESC, keyword) AS rk, keyword, cnt FROM c QUALIFY rk <= 5""",
+    "user_top5_keywords": f"""WITH {_USERS}, o AS (SELECT node_idx AS item_id, no, lower(trim(l[ix], ' ')) AS keyword, ix FROM (SELECT node_idx, no, l, unnest(range(1, len(l) + 1)) AS ix FROM (
+          SELECT node_idx, 0 AS no, domain AS l FROM llm_extraction_results UNION ALL SELECT node_idx, 1, task FROM llm_extraction_results UNION ALL SELECT node_idx, 2, method FROM llm_extraction_results))),
+        fp AS (SELECT item_id, keyword, min(no * 4294967296 + ix) AS pos FROM o WHERE item_id IS NOT NULL AND keyword <> '' GROUP BY ALL),
+        c AS (SELECT user_id, keyword, CAST(sum(n) AS BIGINT) AS cnt, min({{'item_id': item_id, 'pos': pos}}) AS f FROM ui JOIN fp USING (item_id) GROUP BY user_id, keyword)
+        SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY cnt DESC, f.item_id, f.pos, keyword) AS rk, keyword, cnt FROM c QUALIFY rk <= 5""",
     "user_paper_counts": f"WITH {_USERS} SELECT user_id, CAST(sum(n) AS BIGINT) AS total_papers FROM ui GROUP BY user_id",
     "heavy_users": """WITH c AS (SELECT user_id, count(*) AS cnt FROM final_user_interactions WHERE user_id IS NOT NULL GROUP BY user_id)
         SELECT * FROM c WHERE cnt >= 5 OR (SELECT max(cnt) FROM c) < 5""",

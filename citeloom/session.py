@@ -19,6 +19,8 @@ def build_session(master: str = "local[*]", app: str = "citeloom", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        # checkpoints that no table refers to any more are removed
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     builder = SparkSession.builder.master(master).appName(app)
     for key, value in settings.items():

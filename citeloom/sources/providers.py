@@ -10,9 +10,13 @@ from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from citeloom.operators.numbering import dense_ids
+
+#: Calls of a task that are handed to its threads at a time, for each of them.
+ROUNDS = 16
 RESULT = "node_idx long, body string, input_tokens long, output_tokens long, status string, error string, seconds double"
 
 
@@ -40,12 +44,31 @@ def offline_keywords(text: str) -> tuple[str, int, int]:
     return json.dumps(body), len(text) // 4, len(json.dumps(body)) // 4
 
 
+def offline_lengths(text: str) -> tuple[str, int, int]:
+    """A stand-in that answers with no keywords and counts four letters of the text as an input token, sixteen as an output token."""
+    return json.dumps({"domain": [], "task": [], "method": []}), len(text) // 4, len(text) // 16
+
+
 def offline_label(n_labels: int) -> Callable[[str], tuple[str, int, int]]:
-    """A stand-in for a classifier: three labels drawn by a hash of the text, at no tokens."""
+    """A stand-in for a classifier: three labels from the first 32 bits of the text's MD5, at no tokens."""
+
+    def call(text: str) -> tuple[str, int, int]:
+        h = int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+        return json.dumps({"top_k": [{"label_idx": (h + 7 * i) % n_labels, "reasoning": None} for i in range(3)]}), 0, 0
+
+    return call
+
+
+def unreliable(provider: Callable[[str], tuple[str, int, int]], fatal: str | None = None) -> Callable[[str], tuple[str, int, int]]:
+    """A provider that fails for texts whose MD5 begins with 0, and of whose quota nothing is left for those that begin with `fatal`."""
 
     def call(text: str) -> tuple[str, int, int]:
-        h = hashlib.blake2b(text.encode(), digest_size=8).digest()
-        return json.dumps({"top_k": [{"label_idx": (h[0] * 256 + h[1] + 7 * i) % n_labels, "reasoning": None} for i in range(3)]}), 0, 0
+        digest = hashlib.md5(text.encode()).hexdigest()
+        if fatal is not None and digest.startswith(fatal):
+            raise RuntimeError("insufficient_quota")
+        if digest.startswith("0"):
+            raise RuntimeError("no answer")
+        return provider(text)
 
     return call
 
@@ -54,7 +77,8 @@ def call_all(requests: DataFrame, provider: Callable[[str], tuple[str, int, int]
     """(node_idx, body, input_tokens, output_tokens, status, error, seconds) of every request (node_idx, text), in no order.
 
     status is success, failed after `attempts` errors, or fatal for an error that names an insufficient quota; failed calls
-    have no tokens. Null and empty texts make no call and no row.
+    have no tokens. Null, empty and blank texts make no call and no row. A fatal answer ends the calls of its task: those under way
+    finish, and what is left is in no row. With one task and one call at a time, requests are made in order of node_idx.
     """
 
     def one(idx: int, text: str) -> tuple:
@@ -75,11 +99,40 @@ def call_all(requests: DataFrame, provider: Callable[[str], tuple[str, int, int]
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(policy.at_once) as pool:
             for batch in batches:
-                jobs = [pool.submit(one, i, t) for i, t in zip(batch["node_idx"], batch["text"])]
-                yield pd.DataFrame([j.result() for j in as_completed(jobs)], columns=["node_idx", "body", "input_tokens", "output_tokens", "status", "error", "seconds"])
-
-    wanted = requests.select("node_idx", "text").where(F.length("text") > 0)
-    return wanted.repartition(policy.tasks).mapInPandas(work, RESULT)
+                rows, over = [], False
+                asked = list(zip(batch["node_idx"], batch["text"]))
+                step = policy.at_once * ROUNDS if policy.at_once > 1 else 1
+                for begin in range(0, len(asked), step):
+                    jobs = [pool.submit(one, i, t) for i, t in asked[begin : begin + step]]
+                    for job in as_completed(jobs):
+                        if not job.cancelled():
+                            rows.append(job.result())
+                            if rows[-1][4] == "fatal" and not over:
+                                over = True
+                                for other in jobs:
+                                    other.cancel()
+                    if over:
+                        break
+                yield pd.DataFrame(rows, columns=["node_idx", "body", "input_tokens", "output_tokens", "status", "error", "seconds"])
+                if over:
+                    return
+
+    wanted = requests.select("node_idx", "text").where(F.col("text").rlike(r"\S"))
+    return wanted.repartition(policy.tasks).sortWithinPartitions("node_idx").mapInPandas(work, RESULT)
+
+
+def observed(answers: DataFrame, name: str = "calls") -> tuple[DataFrame, Observation]:
+    """answers with an observation of its progress: after an action, observation.get has calls, succeeded and tokens."""
+    watch = Observation(name)
+    tokens = F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.lit(0))
+    return answers.observe(watch, F.count(F.lit(1)).alias("calls"), F.count_if(F.col("status") == "success").alias("succeeded"), tokens.alias("tokens")), watch
+
+
+def joined_ids(ids: DataFrame, batch: int = 40) -> DataFrame:
+    """(batch_no, ids): distinct non-blank paper ids, trimmed, in order, `batch` at a time, joined by "|" for a filter."""
+    clean = ids.select(F.trim("paper_id").alias("paper_id")).where("paper_id <> ''").distinct()
+    numbered = dense_ids(clean, ["paper_id"], "n")
+    return numbered.groupBy(F.floor(F.col("n") / batch).alias("batch_no")).agg(F.array_join(F.array_sort(F.collect_list("paper_id")), "|").alias("ids"))
 
 
 def fetch_works(ids: DataFrame, client: Callable[[list[str]], list[str]], batch: int = 40, pause: float = 0.0) -> DataFrame:

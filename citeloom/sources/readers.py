@@ -15,11 +15,19 @@ INTERACTIONS = "user_id long, item_id long, paper_id string, keywords string"
 
 
 def edges_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A header-less CSV edge list; gzip is recognised by its name and, as it can't be split, spread again after reading."""
+    """A header-less CSV edge list of two columns or more; gzip is recognised by its name and, as it can't be split, spread again after reading."""
+    line = spark.read.text(path).first()
+    if line is not None and "," not in line["value"]:
+        raise ValueError(f"{path} has fewer than 2 columns")
     df = spark.read.schema(EDGES).csv(path)
     return df.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else df
 
 
+def node_count(edges: DataFrame) -> int:
+    """The largest node of an edge list and one more; 0 for no edges."""
+    return int(edges.agg(F.coalesce(F.max(F.greatest("src", "dst")) + 1, F.lit(0))).first()[0])
+
+
 def graph_dataset(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Edges (src, dst), features (idx, features ARRAY<FLOAT>) and labels (idx, label_idx) of a benchmark folder.
 
@@ -56,9 +64,18 @@ def categories_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col(f"`{df.columns[0]}`").try_cast("int").alias("label_idx"), F.col(f"`{name}`").alias("category"))
 
 
-def papers_tsv(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """A header-less TSV of papers; quoted fields may span lines. With columns, only those are parsed."""
-    df = spark.read.schema(PAPERS).option("sep", "\t").option("multiLine", True).option("escape", '"').csv(path)
+def _first_letter(spark: SparkSession, path: str) -> str:
+    """The first letter of a text file or folder that isn't blank."""
+    row = spark.read.text(path).select(F.ltrim("value").alias("t")).where("t <> ''").select(F.substring("t", 1, 1)).first()
+    return row[0] if row else ""
+
+
+def papers_tsv(spark: SparkSession, path: str, *columns: str, one_line: bool = False) -> DataFrame:
+    """A header-less TSV of papers; quoted fields may span lines. With columns, only those are parsed.
+
+    A file whose fields may span lines is read by one task; with one_line, a record is a line and a file is split.
+    """
+    df = spark.read.schema(PAPERS).option("sep", "\t").option("multiLine", not one_line).option("escape", '"').csv(path)
     return df.select(*columns) if columns else df
 
 
@@ -67,20 +84,22 @@ def interactions_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array of objects (or JSON lines) with the given schema; missing fields are null."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A JSON array of objects, or JSON lines, with the given schema; missing fields are null. Lines are split among tasks, an array isn't."""
+    return spark.read.schema(schema).option("multiLine", _first_letter(spark, path) == "[").json(path)
 
 
 def keyword_results(spark: SparkSession, path: str) -> DataFrame:
     """Keyword results of either form: three arrays, or a flat `features` array, which then stands as method; missing arrays are empty."""
-    df = spark.read.schema(KEYWORDS + ", features array<string>").option("multiLine", True).json(path)
+    df = json_array(spark, path, KEYWORDS + ", features array<string>")
     empty = F.array().cast("array<string>")
     return df.select("node_idx", F.coalesce("domain", empty).alias("domain"), F.coalesce("task", empty).alias("task"), F.coalesce("method", "features", empty).alias("method"), "input_tokens", "output_tokens", "status")
 
 
 def keyword_map_json(spark: SparkSession, path: str) -> DataFrame:
-    """(paper_id, keywords) of one JSON object of lists."""
-    text = spark.read.text(path, wholetext=True)
+    """(paper_id, keywords) of JSON objects of lists: one a line, or one that takes the whole file, which one task then reads."""
+    lines = spark.read.text(path)
+    first = lines.where(F.length(F.trim("value")) > 0).first()
+    text = lines if first and first["value"].rstrip().endswith("}") else spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("paper_id", "keywords"))
 
 

@@ -7,6 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.config import setting
+
+
+def state_folder(spark: SparkSession, job: str) -> str:
+    """Where a job's progress and output live from session to session: under the setting state.dir, else under spark.checkpoint.dir."""
+    home = setting(spark, "state.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not home:
+        raise KeyError("set spark.citeloom.state.dir or spark.checkpoint.dir to a folder that all executors share")
+    return f"{home.rstrip('/')}/jobs/{job}"
+
 
 def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Wanted rows whose key isn't done; null keys are not wanted."""
