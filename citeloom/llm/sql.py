@@ -35,7 +35,32 @@ q AS (SELECT source, target_share / (2 * k + 1) AS quotient, k FROM (SELECT sour
 r AS (SELECT source, row_number() OVER (ORDER BY quotient DESC, source) AS rk FROM q)
 SELECT t.source, count(r.rk) AS seats FROM t LEFT JOIN r ON r.source = t.source AND rk <= (SELECT sum(n) FROM t) GROUP BY t.source"""
 
+def _word_list(text: str) -> str:
+    return rf"list_filter(regexp_split_to_array(lower(regexp_replace({text}, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+def _letter_pairs(words: str) -> str:
+    return f"list_distinct(flatten(list_transform({words}, lambda w: list_transform(range(0, length(w) + 1), lambda i: substr('^' || w || '$', i + 1, 2)))))"
+
+
+_CANONICAL = f"""
+WITH c0 AS (SELECT node_index, unnest(topk_candidates) AS c, generate_subscripts(topk_candidates, 1) AS cand_no FROM topic_prediction_results),
+c1 AS (SELECT node_index, cand_no, c.category AS category, c.label_idx AS own FROM c0 QUALIFY row_number() OVER (PARTITION BY node_index, cand_no ORDER BY c.category NULLS FIRST, c.label_idx NULLS FIRST) = 1),
+c AS (SELECT * FROM c1 WHERE category IS NULL OR category NOT IN (SELECT category FROM labelidx2category WHERE category IS NOT NULL)),
+v AS (SELECT category, ws, {_letter_pairs('ws')} AS x FROM (SELECT category, {_word_list('category')} AS ws FROM (SELECT DISTINCT category FROM c WHERE category IS NOT NULL))),
+e AS (SELECT label_idx, fs, {_letter_pairs('fs')} AS y FROM (SELECT DISTINCT label_idx, {_word_list('form')} AS fs FROM (SELECT label_idx, unnest([category, short_code]) AS form FROM labelidx2category) WHERE form IS NOT NULL)),
+j AS (SELECT category, label_idx, ws, fs, len(list_intersect(x, y)) AS s, len(x) + len(y) AS t FROM v, e WHERE len(x) > 0 AND len(y) > 0),
+k AS (SELECT category, label_idx, s / (t - s) AS jaccard FROM j WHERE s / (t - s) >= 0.4 - 1e-12 AND (
+  len(list_filter(fs, lambda r: len(list_filter(ws, lambda w: w = r OR (length(w) >= 2 AND starts_with(r, w)) OR levenshtein(w, r) <= ceil(length(r) * 0.4))) = 0)) = 0
+  OR levenshtein(array_to_string(ws, ''), array_to_string(fs, '')) <= ceil(length(array_to_string(fs, '')) * 0.2))),
+b AS (SELECT category, label_idx FROM k QUALIFY row_number() OVER (PARTITION BY category ORDER BY jaccard DESC, label_idx) = 1),
+o AS (SELECT c.node_index, c.cand_no, c.category, CAST(CASE WHEN c.category IS NULL OR regexp_full_match(c.category, '{_SPACE[:-1]}*')
+  THEN CASE WHEN own IN (SELECT label_idx FROM labelidx2category) THEN own ELSE -1 END ELSE coalesce(b.label_idx, -1) END AS INTEGER) AS label_idx FROM c LEFT JOIN b ON b.category = c.category)
+"""
+
 SQL = {
+    "p3_found": _CANONICAL + "SELECT node_index, CAST(cand_no AS INTEGER) AS cand_no, label_idx FROM o",
+    "p3_unmatched": _CANONICAL + "SELECT category, count(*) AS n_candidates FROM o WHERE label_idx = -1 GROUP BY category",
     "p8_seats": _SEATS,
     "p1_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark IS NOT NULL",
     "p1_term_counts": _TERMS + "SELECT field_name, term, uses, records, mark FROM m",
