@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from citeloom.functions import parse
 from citeloom.functions import text as T
-from citeloom.operators import cost, evaluate, graph, jobs, keywords, models, numbering, prompts, recommend, tfidf, users
+from citeloom.operators import cost, evaluate, graph, jobs, keywords, models, network, numbering, prompts, recommend, tfidf, users
 from citeloom.operators.references import number_key
 from citeloom.plans.core_sql import SQL  # noqa: F401
 from citeloom.session import cut_lineage, shared_folder, spread
@@ -467,20 +467,29 @@ def mf_recommend(spark: SparkSession, d: str) -> DataFrame:
     return models.recommend_factors(model, people, items, asked, seen.select("user_id", "item_id"))
 
 
-@query
-def content_recommend(spark: SparkSession, d: str) -> DataFrame:
+def _network(spark: SparkSession, d: str, weighted: bool, epochs: int, dropout: float) -> DataFrame:
+    """Train on all positives with four negatives each, then rank all items for the users whose id is divisible by 100."""
     rows = cut_lineage(_keywords(spark, d))
     vocab = cut_lineage(keywords.vocabulary(rows))
     bags = cut_lineage(keywords.weighted_bags(rows, vocab))
     seen = cut_lineage(table(spark, d, "final_user_interactions", "user_id", "item_id").join(bags.select("item_id").distinct(), "item_id", "left_semi").where("user_id is not null").select("user_id", "item_id").distinct())
     people = cut_lineage(numbering.dense_ids(seen.select("user_id").distinct(), ["user_id"], "u"))
-    negatives = recommend.training_negatives(seen)
-    pairs = seen.withColumn("label", F.lit(1.0)).unionAll(negatives.select("user_id", "item_id", F.lit(0.0).alias("label")))
-    size = people.count(), vocab.count()
-    model = models.content_model(cut_lineage(models.content_features(pairs, people, bags, *size)), factors=8, epochs=5)
-    asked = people.where("user_id % 100 = 0")
-    left, right = models.content_vectors(model, asked, bags, size[0])
-    return recommend.vector_topk(right, left, 5, cosine=False, seen=seen.withColumnRenamed("user_id", "query_id"), own=True).withColumnRenamed("query_id", "user_id")
+    pairs = seen.withColumn("label", F.lit(1.0)).unionAll(recommend.training_negatives(seen).select("user_id", "item_id", F.lit(0.0).alias("label")))
+    net = network.Network.new(people.count(), vocab.count())
+    lists = cut_lineage(network.bag_lists(bags, net, weighted))
+    net = network.train(network.examples(pairs, people, lists, net), net, epochs, dropout=dropout)
+    ranked = network.recommend(net, people.where("user_id % 100 = 0"), lists, seen.withColumnRenamed("user_id", "query_id"))
+    return ranked.withColumnRenamed("query_id", "user_id")
+
+
+@query
+def content_recommend(spark: SparkSession, d: str) -> DataFrame:
+    return _network(spark, d, True, 15, 0.3)
+
+
+@query
+def content_flat_recommend(spark: SparkSession, d: str) -> DataFrame:
+    return _network(spark, d, False, 10, 0.2)
 
 
 # parsing, providers, streams -----------------------------------------------------------------------------------------------

@@ -98,6 +98,7 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """df with a broadcast hint if its checked size allows, else df: the join then shuffles."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def checked_broadcast(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64_000_000) -> DataFrame:
+    """df with a broadcast hint if its checked size, in rows and as text in bytes, allows; else df: the join then shuffles."""
+    some = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if some["n"] <= max_rows and some["size"] <= max_bytes else df
