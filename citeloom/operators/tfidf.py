@@ -16,7 +16,8 @@ def token_lists(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _terms(lists: DataFrame, words: str | F.Column, *keep: str) -> DataFrame:
-    return lists.select(*keep, F.explode(words).alias("term")).where(is_token(F.col("term")))
+    # a plain explode would let the optimizer clean every text once more, in the scan, to see whether it has words
+    return lists.select(*keep, F.explode_outer(words).alias("term")).where(is_token(F.col("term")))
 
 
 def vocabulary(lists: DataFrame, n: int, min_df: int = 2, max_df: float = 0.95, size: int = 5000) -> DataFrame:
@@ -26,17 +27,25 @@ def vocabulary(lists: DataFrame, n: int, min_df: int = 2, max_df: float = 0.95,
     at most `size` rows.
     """
     both = F.concat(F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))), F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))))
-    seen = lists.select(F.explode(both).alias("s")).where(is_token(F.col("s.term")))
-    counts = seen.groupBy("s.term").agg(F.sum("s.d").alias("df"), F.sum("s.c").alias("cf"))
+    seen = lists.select(F.explode_outer(both).alias("s")).where(is_token(F.col("s.term")))
+    return _kept(seen.groupBy("s.term").agg(F.sum("s.d").alias("df"), F.sum("s.c").alias("cf")), n, min_df, max_df, size)
+
+
+def _kept(counts: DataFrame, n: int, min_df: int, max_df: float, size: int) -> DataFrame:
     kept = counts.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     return kept.orderBy(F.desc("cf"), "term").limit(size)
 
 
-def top_terms(lists: DataFrame, key: str, vocab: DataFrame, n: int, k: int = 3) -> DataFrame:
-    """(key, rk, term, score): the k best terms of each document; ties go to the smaller term. vocab is broadcast: vocabulary() bounds it."""
+def top_terms(lists: DataFrame, key: str, n: int, k: int = 3, min_df: int = 2, max_df: float = 0.95, size: int = 5000) -> DataFrame:
+    """(key, rk, term, score): the k best terms, of the vocabulary that vocabulary() gives, of each document; ties go to the smaller term.
+
+    Texts are read and shuffled once, as (document, term, count); the vocabulary comes from the same counts and is broadcast: it
+    has at most `size` rows. Rows of one key are one document.
+    """
+    tf = _terms(lists, "words", key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    vocab = _kept(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), n, min_df, max_df, size)
     idf = vocab.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
-    tf = _terms(lists, "words", key).join(F.broadcast(idf), "term").groupBy(key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    scored = tf.select(key, "term", (F.col("tf") * F.col("idf")).alias("score"))
+    scored = tf.join(F.broadcast(idf), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("score"))
     order = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "term")
     return scored.withColumn("rk", F.row_number().over(order).cast("long")).where(F.col("rk") <= k).select(key, "rk", "term", F.round("score", 6).alias("score"))
 
@@ -45,4 +54,4 @@ def keywords(df: DataFrame, key: str, text: str, k: int = 3) -> DataFrame:
     """top_terms of every document of df; key is expected to be unique, repeated keys are one document."""
     lists = token_lists(df, key, text)
     n = df.count()
-    return top_terms(lists, key, vocabulary(lists, n), n, k)
+    return top_terms(lists, key, n, k)

@@ -56,7 +56,7 @@ def tfidf_vocab(spark: SparkSession, d: str) -> DataFrame:
 @query
 def tfidf_top3(spark: SparkSession, d: str) -> DataFrame:
     lists, n = _documents(spark, d)
-    return tfidf.top_terms(lists, "doc_id", tfidf.vocabulary(lists, n), n)
+    return tfidf.top_terms(lists, "doc_id", n)
 
 
 @query
@@ -210,6 +210,13 @@ def first_match_lookup(spark: SparkSession, d: str) -> DataFrame:
     return _lookups(spark, d).select("item_id", F.col("first_value").alias("paper_id"))
 
 
+@query
+def item_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Each item's first paper and that paper's title."""
+    first = _lookups(spark, d).select("item_id", number_key("first_value").alias("paper"))
+    return first.join(_papers(spark, d).select("paper", "title"), "paper", "left").select("item_id", "paper", F.coalesce("title", F.lit("Title Not Found")).alias("title"))
+
+
 @query
 def last_match_lookup(spark: SparkSession, d: str) -> DataFrame:
     return _lookups(spark, d).select("item_id", F.col("last_value").alias("paper_id"))

@@ -183,6 +183,8 @@ SQL = {
     "node_paper_text": f"WITH {_PAPERS}, {_MAP} SELECT node_idx, paper, length(concat_ws(' ', title, abstract)) AS n_chars FROM m JOIN papers USING (paper) WHERE length(concat_ws(' ', title, abstract)) > 0",
     "left_join_default": f"WITH {_PAPERS}, {_MAP} SELECT node_idx, paper, coalesce(title, 'Title Not Found') AS title FROM m LEFT JOIN papers USING (paper)",
     "first_match_lookup": "SELECT item_id, paper_id FROM final_user_interactions WHERE item_id IS NOT NULL AND paper_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY created_at NULLS FIRST, paper_id) = 1",
+    "item_titles": f"""WITH {_PAPERS}, f AS (SELECT item_id, paper_id FROM final_user_interactions WHERE item_id IS NOT NULL AND paper_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY created_at NULLS FIRST, paper_id) = 1)
+        SELECT item_id, p.paper, coalesce(title, 'Title Not Found') AS title FROM (SELECT item_id, {_NUMBER} AS paper FROM f) p LEFT JOIN papers ON papers.paper = p.paper""",
     "last_match_lookup": "SELECT item_id, paper_id FROM final_user_interactions WHERE item_id IS NOT NULL AND paper_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY created_at DESC NULLS LAST, paper_id DESC) = 1",
     "user_names": "SELECT user_id, coalesce(name, 'Unknown User') AS name FROM (SELECT DISTINCT user_id FROM final_user_interactions WHERE user_id IS NOT NULL) LEFT JOIN (SELECT user_id, min(trim(author_name, ' ')) AS name FROM final_user_profiles GROUP BY user_id) USING (user_id)",
     "authors_short": """SELECT node_idx, CASE WHEN len(a) > 3 THEN array_to_string(a[1:3], ', ') || '...' WHEN len(a) > 0 THEN array_to_string(a, ', ') ELSE 'Unknown Authors' END AS authors_str
