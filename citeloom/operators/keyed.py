@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from citeloom.session import cut_lineage
+from citeloom.session import checked_broadcast, cut_lineage
 
 
 def compress(df: DataFrame, key: str, value: str | Column) -> DataFrame:
@@ -89,13 +89,13 @@ def percentiles(compressed: DataFrame, shares: dict[str, float], buckets: int =
         if large.limit(1).count() == 0:
             break
         same = F.col("key").eqNullSafe(F.col("k")) & (F.col("name") == F.col("m"))
-        small = inside.join(F.broadcast(large.select("k", "m")), same, "left_anti")
+        small = inside.join(checked_broadcast(large.select("k", "m")), same, "left_anti")
         done = small if done is None else done.unionAll(small)
-        cut = inside.join(F.broadcast(large), same).withColumn("bucket", _place(F.col("cuts"), F.col("value"))).drop("k", "m", "cuts")
+        cut = inside.join(checked_broadcast(large), same).withColumn("bucket", _place(F.col("cuts"), F.col("value"))).drop("k", "m", "cuts")
         upto = Window.partitionBy("key", "name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         parts = cut.groupBy("key", "name", "rank", "before", "bucket").agg(F.sum("weight").alias("w")).withColumn("upto", F.col("before") + F.sum("w").over(upto))
         parts = parts.where((F.col("upto") - F.col("w") < F.col("rank")) & (F.col("rank") <= F.col("upto"))).select(F.col("key").alias("k"), F.col("name").alias("m"), F.col("bucket").alias("b"), (F.col("upto") - F.col("w")).alias("now"))
-        inside = cut_lineage(cut.join(F.broadcast(parts), same & (F.col("bucket") == F.col("b"))).select("key", "name", "rank", F.col("now").alias("before"), "value", "weight"))
+        inside = cut_lineage(cut.join(checked_broadcast(parts), same & (F.col("bucket") == F.col("b"))).select("key", "name", "rank", F.col("now").alias("before"), "value", "weight"))
     inside = inside if done is None else done.unionAll(inside)
 
     order = Window.partitionBy("key", "name").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)

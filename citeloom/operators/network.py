@@ -238,7 +238,7 @@ def recommend(net: Network, asked: DataFrame, lists: DataFrame, seen: DataFrame
 
         return _seen_by(items, seen, part.select("query_id")).mapInPandas(work, "query_id long, item_id long, score double")
 
-    return _ranked(_union([score_block(b) for b in _blocks(asked, "query_id", 2, block)]), k)
+    return _ranked(_union([score_block(b) for b in _blocks(asked, "query_id", len(net.weights["users"][0]), block)]), k)
 
 
 def save(net: Network, spark: SparkSession, path: str) -> None:

@@ -182,8 +182,8 @@ def bag_ranking(profiles: DataFrame, bags: DataFrame, seen: DataFrame | None, k:
     item_lists = cut_lineage(bags.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.collect_list(F.struct("keyword", F.col("weight").cast("double").alias("weight"))).alias("bag")))
     parts = []
     widest = profiles.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    # a keyword of a profile takes as much room as ten numbers
-    for part in _blocks(profiles.select("query_id").distinct(), "query_id", 10 * widest, block):
+    # a keyword of a profile counts as eighty numbers: it takes more room, and some hundred items should fit beside the queries
+    for part in _blocks(profiles.select("query_id").distinct(), "query_id", 80 * widest, block):
         mine = profiles.join(part, "query_id", "left_semi").select(F.col("query_id").cast("long").alias("query_id"), "keyword", F.col("weight").cast("double").alias("weight"))
         words: dict[str, dict[int, float]] = {}
         squares: dict[int, float] = {}
