@@ -285,14 +285,14 @@ def candidate_pairs(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     pairs = pairs.unionAll(within(common.select("key", "node", "before", "word").join(finer.where(F.col("n") <= block).select("key"), "key")))
 
     # whole words that are common: by the other word with one letter left out, so that no slip of a letter escapes
-    still = common.where("whole").select("node", "wide", "o").distinct()
+    still = common.where("whole").select("node", "wide", "o")
     left_out = F.array_distinct(F.concat(F.array("o"), F.transform(F.sequence(F.lit(1), F.length("o")), lambda i: F.concat(F.substring("o", F.lit(1), i - 1), F.substring("o", i + 1, F.length("o"))))))
-    still = still.select("node", F.explode(left_out).alias("form"), "wide").select("node", F.xxhash64("wide", "form").alias("key")).distinct()
+    still = still.select("node", F.explode(left_out).alias("form"), "wide").select("node", F.xxhash64("wide", "form").alias("key"))
     pairs = pairs.unionAll(still.withColumnRenamed("node", "a").join(still.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b"))
     # an initial or a word of two letters meets all that begin with the same letter
-    alike = common.where("whole and own").select("wide", "node", "o").distinct()
-    short = alike.where(F.length("o") < 3).select("wide", F.col("node").alias("a")).distinct()
-    met = short.join(alike.select("wide", F.col("node").alias("b")).distinct(), "wide").where("a <> b")
+    alike = common.where("whole and own").select("wide", "node", "o")
+    short = alike.where(F.length("o") < 3).select("wide", F.col("node").alias("a"))
+    met = short.join(alike.select("wide", F.col("node").alias("b")), "wide").where("a <> b")
     pairs = pairs.unionAll(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     return pairs.distinct()
 
