@@ -66,6 +66,20 @@ def topic_prompt(title: Column, abstract: Column, categories: Column, context: C
     return F.concat(F.lit("Choose the best categories for the paper.\nCategories:\n"), categories, F.lit("\n"), labelled_text(title, abstract), extra)
 
 
+KEYWORD_REQUEST = "Name the paper's domains, tasks and methods as a JSON object of three lists, domain, task and method."
+CHAT_REQUEST = "Give seven to ten keywords of this interest as a JSON object with one list, keywords."
+
+
+def keyword_prompt(title: Column, abstract: Column) -> Column:
+    """A request for a paper's keywords; null parts are empty."""
+    return F.concat(F.lit(KEYWORD_REQUEST + "\n"), labelled_text(title, abstract))
+
+
+def chat_prompt(text: Column) -> Column:
+    """A request for the keywords of what a person wrote; a null text is empty."""
+    return F.concat(F.lit(CHAT_REQUEST + "\n"), F.coalesce(text, F.lit("")))
+
+
 def prompt_words(text: Column) -> Column:
     """Words of letters only, lower-cased, split at white space; others are dropped."""
     return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"^\p{L}+$")), lambda w: F.lower(w))

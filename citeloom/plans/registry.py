@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.plans import core, problems
+from citeloom.plans import core, files, problems
 from citeloom.session import ready
 
-MODULES = (core, problems)
+MODULES = (core, files, problems)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -135,6 +135,26 @@ def joined_ids(ids: DataFrame, batch: int = 40) -> DataFrame:
     return numbered.groupBy(F.floor(F.col("n") / batch).alias("batch_no")).agg(F.array_join(F.array_sort(F.collect_list("paper_id")), "|").alias("ids"))
 
 
+def works_client(base: str, open_url: Callable | None = None, timeout: float = 20.0) -> Callable[[list[str]], list[str]]:
+    """A client of a bibliographic service for fetch_works: one request for all ids, joined by "|" in a filter, of the ids and authorships only.
+
+    open_url(url, timeout=...) gives a response with `status` and read(), urllib's by default. An answer other than 200 or no
+    answer within the timeout raises, so that the ids asked for have no authors.
+    """
+
+    def client(ids: list[str]) -> list[str]:
+        import urllib.parse
+        import urllib.request
+
+        query = urllib.parse.urlencode({"filter": "ids.mag:" + "|".join(ids), "select": "ids,authorships", "per-page": len(ids)})
+        with (open_url or urllib.request.urlopen)(f"{base}?{query}", timeout=timeout) as answer:
+            if answer.status != 200:
+                raise OSError(f"status {answer.status}")
+            return [json.dumps(work) for work in json.loads(answer.read()).get("results", [])]
+
+    return client
+
+
 def fetch_works(ids: DataFrame, client: Callable[[list[str]], list[str]], batch: int = 40, pause: float = 0.0) -> DataFrame:
     """(paper_id, authors) of every id: the client gets up to `batch` ids and gives JSON texts of works; ids it doesn't answer, or fails on, have no authors."""
 

@@ -70,6 +70,31 @@ def test_progress_ids_and_usage(spark, rows, answer):
     assert sorted(tuple(r)[1:] for r in got.collect()) == [(0, 0)] * 4 + [(5, 7)]
 
 
+def test_works_client(spark, rows):
+    def opener():
+        import io
+        from urllib.parse import parse_qs, urlparse
+
+        class Answer(io.BytesIO):
+            status = 200
+
+        def open_url(url, timeout):
+            asked = parse_qs(urlparse(url).query)
+            assert timeout == 3 and asked["select"] == ["ids,authorships"]
+            ids = asked["filter"][0].removeprefix("ids.mag:").split("|")
+            if "9" in ids:
+                raise TimeoutError
+            answer = Answer(json.dumps({"results": [{"ids": {"mag": i}, "authorships": [{"author": {"display_name": "A" + i}}]} for i in ids]}).encode())
+            answer.status = 500 if "8" in ids else 200
+            return answer
+
+        return open_url
+
+    ids = spark.createDataFrame([(str(k),) for k in range(10)], "paper_id string").coalesce(1)
+    got = dict(rows(providers.fetch_works(ids, providers.works_client("http://localhost/works", opener(), 3), batch=1)))
+    assert got == {str(k): [f"A{k}"] if k < 8 else [] for k in range(10)}
+
+
 def test_reports_and_sizes(spark, rows):
     calls = spark.createDataFrame([(1_234_567, 20)], "input_tokens long, output_tokens long")
     lines = [r["line"] for r in cost.report_lines(cost.cost_summary(calls, 1000)).orderBy("line_no").collect()]
