@@ -252,16 +252,17 @@ def parsed_names(names: DataFrame) -> DataFrame:
 
 def candidate_pairs(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Distinct (a, b), a < b, of nodes that share a block. nodes: (node, words, others), others the words and initials besides; and
-    maybe `given`, those of the words beside which an initial says nothing of the family name.
+    maybe `given`, those of the words beside which an initial says nothing of the family name, and `lead`, the first given name and its forms.
 
     No group is taken whole that may be larger than `block`, but those that agree in a whole word, another word's initial, its first three
     letters and all but one of its letters.
     """
     given = F.col("given") if "given" in nodes.columns else F.array().cast("array<string>")
-    words = nodes.select("node", "others", given.alias("given"), F.explode("words").alias("word")).withColumn("own", ~F.array_contains("given", F.col("word")))
+    lead = F.col("lead") if "lead" in nodes.columns else F.col("others")
+    words = nodes.select("node", "others", given.alias("given"), lead.alias("lead"), F.explode("words").alias("word")).withColumn("own", ~F.array_contains("given", F.col("word")))
     shortest = F.least(F.length("word"), F.greatest(F.lit(MIN_SUFFIX), F.ceil(F.length("word") / 2).cast("int")))
-    index = words.select("node", "own", "word", F.explode("others").alias("o"), shortest.alias("k")).where("o <> word")
-    index = index.select("node", "own", "word", "o", F.explode(F.sequence("k", F.length("word"))).alias("k"))
+    index = words.select("node", "own", "word", "lead", F.explode("others").alias("o"), shortest.alias("k")).where("o <> word")
+    index = index.select("node", (F.col("own") & F.array_contains("lead", F.col("o"))).alias("own"), "word", "o", F.explode(F.sequence("k", F.length("word"))).alias("k"))
     # a pair that agrees in the letter before the suffix too meets under the longer one
     before = F.expr("substring(word, length(word) - k, if(k < length(word), 1, 0))")
     index = index.select("node", "own", "word", F.col("k").eqNullSafe(F.length("word")).alias("whole"), before.alias("before"), F.expr("right(word, k)").alias("suffix"), F.substring("o", 1, 1).alias("one"), "o").withColumn("key", F.xxhash64("suffix", "one"))
@@ -289,7 +290,7 @@ def candidate_pairs(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     left_out = F.array_distinct(F.concat(F.array("o"), F.transform(F.sequence(F.lit(1), F.length("o")), lambda i: F.concat(F.substring("o", F.lit(1), i - 1), F.substring("o", i + 1, F.length("o"))))))
     still = still.select("node", F.explode(left_out).alias("form"), "wide").select("node", F.xxhash64("wide", "form").alias("key"))
     pairs = pairs.unionAll(still.withColumnRenamed("node", "a").join(still.withColumnRenamed("node", "b"), "key").where("a < b").select("a", "b"))
-    # an initial or a word of two letters meets all that begin with the same letter
+    # a first given name that is an initial or of two letters meets all that begin with the same letter
     alike = common.where("whole and own").select("wide", "node", "o")
     short = alike.where(F.length("o") < 3).select("wide", F.col("node").alias("a"))
     met = short.join(alike.select("wide", F.col("node").alias("b")), "wide").where("a <> b")
@@ -357,7 +358,10 @@ def _linked(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     shorts = F.create_map(*[x for k, v in FULL.items() for x in (F.lit(k), F.array(*[F.lit(f) for f in sorted(v)]))])
     forms = F.array_union(F.col("words"), F.flatten(F.transform("given", lambda g: F.coalesce(F.try_element_at(shorts, g), F.array()))))
     nodes = cut_lineage(nodes.withColumn("forms", forms).withColumn("others", F.array_union("forms", "given")).withColumn("id", F.monotonically_increasing_id()))
-    pairs = candidate_pairs(nodes.select(F.col("id").alias("node"), F.col("forms").alias("words"), "others", F.array_union("given", F.array_except("forms", "words")).alias("given")))
+    # organisations and single words have no given name: any word may lead
+    first = F.try_element_at("given", F.lit(1))
+    lead = F.when(first.isNull(), F.col("others")).otherwise(F.array_union(F.array(first), F.coalesce(F.try_element_at(shorts, first), F.array().cast("array<string>"))))
+    pairs = candidate_pairs(nodes.select(F.col("id").alias("node"), F.col("forms").alias("words"), "others", F.array_union("given", F.array_except("forms", "words")).alias("given"), lead.alias("lead")))
     sides = nodes.select("id", "kind", "family", "given", "counts", F.transform("others", lambda o: F.substring(o, 1, 1)).alias("initials"))
     for end in ("a", "b"):
         pairs = pairs.join(sides.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in sides.columns[1:]]), end)
