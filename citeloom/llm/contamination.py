@@ -1,9 +1,9 @@
 """Evaluation texts that stand in corpus documents: rare n-gram seeds, then Smith-Waterman alignment.
 
 Texts are compared as streams of letters and digits. Every n-gram of an item's stream is a seed, with its place. How many
-seeds a case must share follows from the alignment's scores. A changed word of average length costs BREAK letters, so a copy
-that is worth anything has more than BREAK letters to a break (a jump, an insertion or a changed word). Of M repeated letters in
-runs between fewer than M / BREAK breaks, each run of r letters holds r - n + 1 seeds in order, so that M repeated letters show
+seeds a case must share follows from how dense its breaks (jumps, insertions, changed words) may be: a case has more than BREAK
+repeated letters to a break. BREAK is a parameter; 10 is what the alignment takes off for a changed word of five letters. Of M
+repeated letters in runs between fewer than M / BREAK breaks, each run of r letters holds r - n + 1 seeds in order, so that they show
 
     M - (M / BREAK + 1) (n - 1) = M (1 - (n - 1) / BREAK) - (n - 1)
 
@@ -35,7 +35,9 @@ from citeloom.session import spread
 MATCH, MISMATCH, OPEN = 1, -2, -8
 #: Letters of a seed in scripts of letters, and in those of syllables and ideographs.
 LONG, SHORT = 7, 4
-#: What a changed word costs: MISMATCH for each of five letters, or of two to three syllables. Copies with denser breaks are none.
+#: Repeated letters to a break at least, by seed length: MISMATCH for each of a word's five letters, or two to three syllables. A gap costs
+#: only OPEN, so a copy whose insertions stand 8 to 10 letters apart could still align with profit and isn't looked at; with 8 and 4
+#: it would be, at four times the candidates.
 BREAK = {LONG: 10, SHORT: 5}
 #: Items of a block, and letters of their texts on average: 16 bytes of seeds a letter are broadcast.
 BLOCK_ITEMS, BLOCK_LETTERS = 2_000, 4_000_000
