@@ -1,11 +1,13 @@
 """The content network: gradients against differences, training, ranking against brute force, saving."""
 
 import random
+import time
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from citeloom.operators import network
+from citeloom.operators import network, recommend
 
 
 def test_gradients_against_differences():
@@ -72,3 +74,51 @@ def test_places_are_bounded(spark):
     assert net.weights["users"].shape == (10, 4) and net.weights["keywords"].shape == (11, 4)
     got = spark.range(1, 1001).select(net.user_place(F.col("id")).alias("u"), net.keyword_place(F.col("id")).alias("k")).agg(F.min("u"), F.max("u"), F.min("k"), F.max("k")).first()
     assert tuple(got) == (0, 9, 1, 10)
+
+
+def _kept(spark):
+    """Bytes of shuffles and of what was sent out, on disk."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toList()
+    files = [files.apply(i) for i in range(files.size())]
+    return sum(f.length() for f in files if f.getName().startswith(("shuffle_", "broadcast_")))
+
+
+def test_epochs_leave_nothing_on_disk(spark):
+    bags = spark.createDataFrame([(i, 1 + i, 2) for i in range(20)], "item_id long, keyword_id long, weight long")
+    net = network.Network.new(2000, 20, 64)
+    data = network.examples(spark.range(400).selectExpr("id as user_id", "id % 20 as item_id", "id % 2 as label"), spark.range(400).selectExpr("id as user_id", "id as u"), network.bag_lists(bags, net), net)
+    before = _kept(spark)
+    assert len(network.train(data, net, epochs=6).losses) == 6
+    for _ in range(50):  # files are removed in the background
+        if (left := _kept(spark) - before) < net.flat().nbytes:
+            break
+        time.sleep(0.1)
+    assert left < net.flat().nbytes
+
+
+def test_drawn_in_place_as_by_joins(spark):
+    rng = random.Random(4)
+    pairs = {(u, 3 * i) for u in range(60) for i in range(30) if rng.random() < u / 59}  # from no item to all of them
+    number = {x: no for no, x in enumerate(sorted({i for _, i in pairs}))}
+    frame = spark.createDataFrame(sorted(pairs), "user_id long, item_id long")
+    want = Counter((r["user_id"], number[r["item_id"]]) for r in recommend.training_negatives(frame).collect())
+    rows = spark.createDataFrame([(u, i, 1000 + u, number[i]) for u, i in pairs], "user_id long, item_id long, u long, number long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)  # a user's rows are in several batches
+    try:
+        got = recommend.training_numbers(rows, len(number)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter((r["u"] - 1000, r["number"]) for r in got if r["label"] == 0) == want and sum(want.values()) > 2000
+    assert Counter((r["u"] - 1000, r["number"]) for r in got if r["label"] == 1) == Counter((u, number[i]) for u, i in pairs)
+    assert recommend.training_numbers(rows.limit(0), 0).count() == 0
+
+
+def test_lists_stand_once_for_many_examples(spark, monkeypatch):
+    monkeypatch.setattr(network, "TOGETHER", 4)
+    net = network.Network.new(30, 6, 4, (4, 4))
+    examples = [(u, i, int((u + i) % 3 == 0)) for u in range(30) for i in range(u % 5 + 1)]
+    lists = spark.createDataFrame([(i, [1, i + 1], [0.5, 0.5]) for i in range(1, 5)], "number long, ids array<int>, shares array<float>")
+    got = network.packed(spark.createDataFrame(examples * 2, "u long, number long, label int"), lists, net).collect()
+    assert Counter((c >> 1, r["number"], c & 1) for r in got for c in r["codes"]) == Counter(examples * 2)
+    assert all(r["ids"] == ([1, r["number"] + 1] if r["number"] else []) and len(r["ids"]) == len(r["shares"]) for r in got)
+    assert len(got) < 0.4 * 2 * len(examples)
