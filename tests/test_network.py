@@ -122,3 +122,9 @@ def test_lists_stand_once_for_many_examples(spark, monkeypatch):
     assert Counter((c >> 1, r["number"], c & 1) for r in got for c in r["codes"]) == Counter(examples * 2)
     assert all(r["ids"] == ([1, r["number"] + 1] if r["number"] else []) and len(r["ids"]) == len(r["shares"]) for r in got)
     assert len(got) < 0.4 * 2 * len(examples)
+
+
+def test_one_copy_of_the_weights():
+    net = network.Network.new(50, 20, 4, (4, 4))
+    flat = net.flat()
+    assert all(np.shares_memory(w, flat) for w in net.like(flat).weights.values())
