@@ -128,3 +128,95 @@ def test_one_copy_of_the_weights():
     net = network.Network.new(50, 20, 4, (4, 4))
     flat = net.flat()
     assert all(np.shares_memory(w, flat) for w in net.like(flat).weights.values())
+
+
+def test_mini_batches_against_plain_steps():
+    rng = np.random.default_rng(5)
+    net = network.Network.new(6, 9, 4, (8, 5), seed=2)
+    ids = [np.sort(rng.integers(1, 10, rng.integers(0, 5))) for _ in range(7)]  # empty lists, and places that several keywords share
+    bags = network._Bags(ids, [np.full(len(x), 1 / max(1, len(x)), dtype=np.float32) for x in ids])
+    u, item, label = rng.integers(0, 6, 43), rng.integers(0, 7, 43), rng.integers(0, 2, 43).astype(np.float32)
+    w = {k: x.astype(float) for k, x in net.weights.items()}
+    m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+    loss = 0.0
+    for t, begin in enumerate(range(0, 43, 5), 1):
+        grads = {k: np.zeros_like(x) for k, x in w.items()}
+        used = {"users": set(), "keywords": set()}
+        mine = range(begin, min(43, begin + 5))
+        for e in mine:
+            words = ids[item[e]]
+            x = np.concatenate([w["users"][u[e]], w["keywords"][words].sum(0) / max(1, len(words))])
+            z1 = x @ w["w1"] + w["b1"][0]
+            z2 = np.maximum(z1, 0) @ w["w2"] + w["b2"][0]
+            s = float(np.maximum(z2, 0) @ w["w3"][:, 0] + w["b3"][0, 0])
+            loss += np.log1p(np.exp(s)) - label[e] * s
+            g = (1 / (1 + np.exp(-s)) - label[e]) / len(mine)
+            g2 = g * w["w3"][:, 0] * (z2 > 0)
+            g1 = w["w2"] @ g2 * (z1 > 0)
+            gx = w["w1"] @ g1
+            for name, grad in (("w3", np.maximum(z2, 0)[:, None] * g), ("b3", g), ("w2", np.outer(np.maximum(z1, 0), g2)), ("b2", g2), ("w1", np.outer(x, g1)), ("b1", g1)):
+                grads[name] += grad
+            grads["users"][u[e]] += gx[:4]
+            used["users"].add(u[e])
+            for k in words:
+                grads["keywords"][k] += gx[4:] / len(words)
+                used["keywords"].add(k)
+        for name in w:
+            at = sorted(used[name]) if name in used else slice(None)
+            g = grads[name][at] + 1e-3 * w[name][at]
+            m[name][at] = 0.9 * m[name][at] + 0.1 * g
+            v[name][at] = 0.999 * v[name][at] + 0.001 * g**2
+            w[name][at] -= 0.01 * m[name][at] / (1 - 0.9**t) / (np.sqrt(v[name][at] / (1 - 0.999**t)) + 1e-8)
+    together, apart = (network._Adam(net.weights, 0.01, 1e-3) for _ in range(2))
+    found = network._pass(together, u, label, item, bags, 5, 0.0, rng)
+    single = sum(network._step(apart, u[b : b + 5], label[b : b + 5], bags.of(item[b : b + 5]), 0.0, rng) for b in range(0, 43, 5))
+    assert abs(found - loss) < 1e-3 and abs(single - loss) < 1e-3
+    want = np.concatenate([x.ravel() for x in w.values()])
+    assert np.allclose(together.flat(), want, atol=2e-4) and np.allclose(apart.flat(), want, atol=2e-4)
+    assert np.array_equal(net.flat(), network.Network.new(6, 9, 4, (8, 5), seed=2).flat())
+
+
+def test_dropped_units_keep_their_mean():
+    kept, share = network._kept(4000, 128, 0.3, np.random.default_rng(1), np.float32)
+    assert set(np.unique(kept)) == {0, 1} and abs(share - 0.7) < 1e-5 and abs(kept.mean() - 0.7) < 0.005 and np.abs(kept.mean(0) - 0.7).max() < 0.05
+    assert network._kept(4, 128, 0.0, np.random.default_rng(1), np.float32) == (None, 1.0)
+
+
+def test_dead_units_come_to_nothing(spark):
+    bags = spark.createDataFrame([(i, 1 + i, 2) for i in range(20)], "item_id long, keyword_id long, weight long")
+    net = network.Network.new(40, 20, 8, (16, 8))
+    net.weights["w1"][:, :9], net.weights["w2"][:9] = 1e-39, -1e-39  # what units that nothing reaches decay to, a processor's slowest numbers
+    data = network.examples(spark.range(400).selectExpr("id % 40 as user_id", "id % 20 as item_id", "id % 2 as label"), spark.range(40).selectExpr("id as user_id", "id as u"), network.bag_lists(bags, net), net)
+    for name, w in network.train(data, net, epochs=1, batch=8).weights.items():
+        assert not np.any((w != 0) & (np.abs(w) < 1e-20)), name
+
+
+def test_dropped_dead_units_change_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    net = network.Network.new(12, 9, 4, (8, 5), seed=2)
+    for unit in (1, 6):
+        net.weights["w1"][:, unit] = net.weights["w2"][unit] = 0
+    net.weights["w2"][:, 3] = net.weights["w3"][3] = 0
+    net.weights["w1"][:, 2] = 0  # still moved from behind
+    bags = network._Bags([[1 + i] for i in range(9)], [[1.0] for _ in range(9)])
+    u, item, label = rng.integers(0, 12, 80), rng.integers(0, 9, 80), rng.integers(0, 2, 80).astype(np.float32)
+    monkeypatch.setattr(network, "AHEAD", 2)
+    short, long = (network._Adam(net.weights, 0.01, 1e-3) for _ in range(2))
+    network._pass(short, u, label, item, bags, 8, 0.0, rng)
+    assert short.units[0].tolist() == [0, 2, 3, 4, 5, 7] and short.units[1].tolist() == [0, 1, 2, 4]
+    monkeypatch.setattr(network._Adam, "drop", lambda self: None)
+    network._pass(long, u, label, item, bags, 8, 0.0, rng)
+    assert len(long.units[0]) == 8 and short.flat().shape == net.flat().shape and np.allclose(short.flat(), long.flat(), atol=1e-6)
+    gone = network._Adam({k: np.zeros_like(w) for k, w in net.weights.items()}, 0.01, 1e-3)
+    monkeypatch.undo()
+    assert network._pass(gone, u, label, item, bags, 8, 0.3, rng) > 0 and not len(gone.units[0])
+
+
+def test_live_units_score_as_all():
+    net = network.Network.new(12, 9, 4, (8, 5), seed=2)
+    net.weights["w1"][:, 1] = net.weights["w2"][4] = 0
+    net.weights["w1"][:, 6], net.weights["b1"][0, 6] = 0, 0.5  # its bias goes on
+    net.weights["w2"][:, 3] = net.weights["w3"][2] = 0
+    few, means = net.live(), np.random.default_rng(1).random((7, 4), dtype=np.float32)
+    assert few.weights["w1"].shape == (8, 6) and few.weights["w2"].shape == (6, 3) and net.weights["w1"].shape == (8, 8)
+    assert np.allclose(network.scores(few, np.arange(12), means), network.scores(net, np.arange(12), means), atol=1e-6)
