@@ -220,3 +220,15 @@ def test_live_units_score_as_all():
     few, means = net.live(), np.random.default_rng(1).random((7, 4), dtype=np.float32)
     assert few.weights["w1"].shape == (8, 6) and few.weights["w2"].shape == (6, 3) and net.weights["w1"].shape == (8, 8)
     assert np.allclose(network.scores(few, np.arange(12), means), network.scores(net, np.arange(12), means), atol=1e-6)
+
+
+def test_sorted_with_places():
+    for most in (1, 50, 2**61):  # the last has no room for places beside the keys
+        keys = np.random.default_rng(2).integers(0, most, 300)
+        got, order = network._sorted(keys)
+        assert np.array_equal(order, np.argsort(keys, kind="stable")) and np.array_equal(got, keys[order])
+    assert [len(x) for x in network._sorted(np.array([], dtype=np.int64))] == [0, 0]
+
+
+def test_copies_leave_in_few_rows():
+    assert len(range(0, len(network.Network.new(65_536, 30_000).flat()), network.CHUNK)) < 100
